@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, substring_dedup, toxicity
+from . import language_id, license_scan, lm_bloom, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
 
 
+def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of(5) == 1).alias("held_out"))
+    model, rest = lm_bloom.learn(docs.where(~F.col("held_out")))
+    return lm_bloom.score(docs, model, rest, ["doc_id", "held_out"])
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -42,6 +48,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_bloom": op1_lm_bloom,
     "op2_toxicity": op2_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_license_scan": op6_license_scan,
