@@ -1,0 +1,29 @@
+"""Connected components of a graph that is given by its edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._shards import shared_checkpoints
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b.  Of every node that has an edge: node, root (the least node it can reach).
+
+    Each round takes the least label among the neighbours (sums that combine before the shuffle, so a hub's
+    edges don't meet in one task) and then the label's own label, so labels travel in doubling steps.
+    Lineage is cut by checkpoint() in each round.
+    """
+    shared_checkpoints(edges.sparkSession)
+    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")).checkpoint()
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
+        new = step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("new"), F.col("root")).checkpoint()
+        changed = new.agg(F.max((F.col("new") != F.col("root")).cast("int"))).first()[0]
+        labels = new.select("node", F.col("new").alias("root"))
+        if not changed:
+            return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, lm_bloom, substring_dedup, toxicity
+from . import language_id, license_scan, lm_bloom, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.groups(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_license_scan": op6_license_scan,
+    "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
