@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, lm_bloom, simhash, substring_dedup, toxicity
+from . import decontaminate, language_id, license_scan, lm_bloom, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_items") >= 2).alias("contaminated"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op1_lm_bloom": op1_lm_bloom,
     "op2_toxicity": op2_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_license_scan": op6_license_scan,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
