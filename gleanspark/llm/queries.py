@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, lm_bloom, simhash, substring_dedup, toxicity
+from . import decontaminate, fingerprint, language_id, license_scan, lm_bloom, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.score(docs, model, rest, ["doc_id", "held_out"])
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -61,9 +69,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_bloom": op1_lm_bloom,
     "op2_toxicity": op2_toxicity,
+    "op3_fingerprint": op3_fingerprint,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_license_scan": op6_license_scan,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
