@@ -1,8 +1,85 @@
-"""The corpus pipeline: stages over documents (filled in as the operators come)."""
+"""The corpus pipeline: documents from raw to mixed, one operator at a time.
 
-STAGES: list = []
+Each stage gets what its predecessor kept and returns a DataFrame; run() writes
+each result as Parquet below the shared checkpoint folder and reads it again
+for the next stage, which cuts lineage and lets a lost executor cost one stage
+at most.  All stages but the last return the columns they were given.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanspark.llm import decontaminate, language_id, mixing, simhash, substring_dedup
+from gleanspark.llm._shards import shared_checkpoints
+
+#: Words of a window in substring dedup.
+REPEAT = 50
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a text, have no language and go."""
+    model = language_id.learn(docs)
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    told = language_id.identify(packed, model, ["row"])
+    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    keepers = simhash.keepers(docs)
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    kept = row.join(keepers, F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key")))
+    return kept.dropDuplicates(["own_id", "own_key"]).select("row.*")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that an earlier document has are cut; a document that loses nothing keeps its text as it is, one that
+    loses every word goes."""
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*rest).alias("rest"), "doc_id", "text")
+    cut = substring_dedup.dedup(packed, REPEAT, ["rest"], verbatim=True)
+    cut = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
+    return cut.select(*[F.col("kept").alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontaminate.matches(docs, items).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct().checkpoint()
+    hit = decontaminate.few(hit, hit.count())
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key")), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix: text, source, size (words), target (words of the source) and taken (words of the document,
+    repeats counted).  Equal rows become one with their words together."""
+    taken = mixing.mix(docs).groupBy("doc_id", "text_key").agg(F.max("target").alias("target"), F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    taken = taken.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "size", "target", "taken")
+    own = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("own_key"))
+    joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("own_key") == F.col("mix_key")))
+    return joined.dropDuplicates(["doc_id", "own_key"]).select("doc_id", "text", "lang", "source", "size", "target", "taken")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_dedup", one_of_near_copies),
+    ("substring_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+]
+#: Language ID and SimHash groups can't be written in SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Bytes of text handled at once by a Python worker (a longer text makes a chunk of its own).
@@ -157,3 +159,8 @@ def small_batches(spark) -> None:
                 spark.conf.set(key, value)
         except Exception:  # a setting that this Spark doesn't have
             continue
+
+
+def with_columns(df: DataFrame, keep: list[str], ddl: str) -> StructType:
+    """The schema of the kept columns and those of ddl."""
+    return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(ddl).fields])

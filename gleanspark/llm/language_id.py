@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Texts, chunks, per_text, small_batches
+from ._text import Texts, chunks, per_text, small_batches, with_columns
 
 UNKNOWN = "und"
 DIM_BITS = 12
@@ -155,8 +155,7 @@ def decode(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def identify(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), gap: float = 0.2) -> DataFrame:
     """keep, lang_pred, score (0 to 1) and ambiguous (the gap between the two nearest codewords is below gap)."""
     small_batches(docs.sparkSession)
-    source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,4 +172,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), gap:
                     [*keep, "lang_pred", "score", "ambiguous"],
                 )
 
-    return source.mapInArrow(predict, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(predict, with_columns(source, keep, "lang_pred string, score double, ambiguous boolean"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._text import NOT_ALNUM, chunks, small_batches
+from ._text import NOT_ALNUM, chunks, small_batches, with_columns
 
 # The phrases and labels that are counted exactly.
 BASE = [
@@ -128,7 +128,6 @@ def scan(docs: DataFrame, keep: list[str] = ("doc_id",), scanner: Scanner | None
     small_batches(docs.sparkSession)
     scanner = scanner or Scanner()
     source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
     span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("words", pa.string()), ("likeness", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,4 +163,4 @@ def scan(docs: DataFrame, keep: list[str] = ("doc_id",), scanner: Scanner | None
                 }
                 yield pa.RecordBatch.from_arrays([*own, *cols.values()], [*keep, *cols])
 
-    return source.mapInArrow(run, f"{schema}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,last_word:bigint,words:string,likeness:double>>")
+    return source.mapInArrow(run, with_columns(source, keep, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,last_word:bigint,words:string,likeness:double>>"))

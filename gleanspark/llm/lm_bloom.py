@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shards import shared_checkpoints
-from ._text import U64, WHITESPACE, Texts, Words, chunks, mix, small_batches
+from ._text import U64, WHITESPACE, Texts, Words, chunks, mix, small_batches, with_columns
 
 END = U64(0x5E7D0FE4D)
 #: Counts may start their scale at these.
@@ -294,7 +294,6 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
@@ -327,7 +326,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
 
         return xxhash.xxh64_intdigest(text, 11) - (1 << 63)
 
-    scored = source.mapInArrow(run, f"{schema}, n_tokens long, head_known long, head_base double, score double, rare array<struct<word:bigint,times:bigint>>, text_hash long")
+    scored = source.mapInArrow(run, with_columns(source, keep, "n_tokens long, head_known long, head_base double, score double, rare array<struct<word:bigint,times:bigint>>, text_hash long"))
     # one row for the text itself (word is null), one for each rarer word; rows of one text and id come together again
     rows = scored.select(*keep, "n_tokens", "head_known", "head_base", "score", "text_hash", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("word"), F.lit(0).cast("long").alias("times"))), "rare")).alias("r"))
     rows = rows.select(*keep, "n_tokens", "head_known", "head_base", "score", "text_hash", "r.word", "r.times")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shards import shared_checkpoints
-from ._text import LOWER, U64, chunks, mix, small_batches
+from ._text import LOWER, U64, chunks, mix, small_batches, with_columns
 from .components import components
 
 SEED = 42
@@ -40,11 +40,10 @@ SEGMENTS = 64 // SEGMENT
 LOWER_BYTES = LOWER.tobytes()
 
 
-def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """By text (hashes first[i] up to first[i + 1]): bits set in over half of its hashes."""
-    out = np.zeros(len(first) - 1, U64)
-    sizes = np.diff(first)
+def counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """By text (hashes first[i] up to first[i + 1]): of each of the 64 bits, twice the hashes that have it less their number."""
     block = 1 << 17
+    sizes = np.diff(first)
     ones = np.zeros((len(sizes), 64), np.int64)
     some = np.flatnonzero(sizes)
     for low in range(0, len(hashes), block):
@@ -53,9 +52,12 @@ def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         b = int(np.searchsorted(first[some], low + len(bits), "left"))
         starts = np.maximum(first[some[a:b]] - low, 0)
         ones[some[a:b]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    on = ones * 2 > sizes[:, None]
-    out[:] = np.packbits(on, axis=1).view(">u8").ravel().astype(U64)
-    return out
+    return ones * 2 - sizes[:, None]
+
+
+def majorities(over: np.ndarray) -> np.ndarray:
+    """Fingerprints: the bits that over half of the hashes have."""
+    return np.packbits(over > 0, axis=1).view(">u8").ravel().astype(U64)
 
 
 def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,23 +78,19 @@ def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
     return np.array(all_, U64), np.array(first)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[str] = ("doc_id",), words: int = 1) -> DataFrame:
-    """keep and fp (the fingerprint's 64 bits as long); with words > 1 also wide, an array of so many longs from remixed hashes."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """keep and fp, the fingerprint's 64 bits as long."""
     small_batches(docs.sparkSession)
-    source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in chunks(b["text"], most=1 << 20):
-                h, first = shingle_hashes([t.text(i) for i in range(len(t))], shingle)
-                fp = [majorities(h if not k else mix(h + U64(k) * U64(0x9E3779B97F4A7C15)), first) for k in range(words)]
+                fp = majorities(counts(*shingle_hashes([t.text(i) for i in range(len(t))], shingle)))
                 own = [b[k].slice(t.rows.start, len(t)) for k in keep]
-                wide = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(fp).ravel().view(np.int64)), words)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(fp[0].view(np.int64)), wide.cast(pa.list_(pa.int64()))], [*keep, "fp", "wide"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    out = source.mapInArrow(run, f"{schema}, fp long, wide array<bigint>")
-    return out if words > 1 else out.drop("wide")
+    return source.mapInArrow(run, with_columns(source, keep, "fp long"))
 
 
 def nibbles(fp: np.ndarray) -> np.ndarray:
@@ -189,3 +187,92 @@ def groups(docs: DataFrame, shingle: int = 3, keep: list[str] = ("doc_id",)) ->
     named = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(best, "root").select("fp", "component_id"), "fp").select(*keep, "fp", "component_id")
+
+
+#: For groups of similar texts: 64-bit words of a wide fingerprint, and its segments of so many bits.
+WIDE, PART = 4, 24
+PARTS = WIDE * 64 // PART
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """keep, wide (WIDE longs, from remixed shingle hashes) and weak (of each segment the two bits with the closest vote)."""
+    small_batches(docs.sparkSession)
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in chunks(b["text"], most=1 << 20):
+                h, first = shingle_hashes([t.text(i) for i in range(len(t))], shingle)
+                over = np.concatenate([counts(h if not k else mix(h ^ U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), first) for k in range(WIDE)], axis=1)
+                bits = np.packbits(over > 0, axis=1)
+                votes = np.abs(over[:, : PARTS * PART]).reshape(len(t), PARTS, PART)
+                weak = np.argsort(votes, axis=2, kind="stable")[:, :, :2].astype(np.uint8).reshape(len(t), -1)
+                own = [b[k].slice(t.rows.start, len(t)) for k in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([x.tobytes() for x in weak], pa.binary())], [*keep, "wide", "weak"])
+
+    return source.mapInArrow(run, with_columns(source, keep, "wide binary, weak binary"))
+
+
+def similar(fps: DataFrame, most: int) -> DataFrame:
+    """fps: node, wide, weak.  Edges a, b between nodes whose wide fingerprints share a segment, up to flips of its two weakest
+    bits on either side, and differ in at most ``most`` bits in all.  Within a segment's bucket every unlinked node in turn
+    is compared with all, so that a bucket of near copies takes one pass."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 2048):
+                part = b.slice(low, 2048)
+                n = part.num_rows
+                wide = np.frombuffer(b"".join(part["wide"].to_pylist()), np.uint8).reshape(n, -1)
+                weak = np.frombuffer(b"".join(part["weak"].to_pylist()), np.uint8).reshape(n, PARTS, 2).astype(np.uint32)
+                bytes_ = wide[:, : PARTS * PART // 8].reshape(n, PARTS, 3).astype(np.uint32)
+                value = bytes_[:, :, 0] << 16 | bytes_[:, :, 1] << 8 | bytes_[:, :, 2]
+                one, two = np.uint32(1) << (PART - 1 - weak[:, :, 0]), np.uint32(1) << (PART - 1 - weak[:, :, 1])
+                every = np.stack([value, value ^ one, value ^ two, value ^ one ^ two], axis=2).astype(np.int64)
+                key = every | (np.arange(PARTS, dtype=np.int64) << 32)[None, :, None]
+                row = np.repeat(np.arange(n), PARTS * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part["node"].take(pa.array(row)), part["wide"].take(pa.array(row))], ["key", "node", "wide"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, wide = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE), U64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.concatenate([key, b["key"].to_numpy()])
+            node = np.concatenate([node, b["node"].to_numpy()])
+            wide = np.concatenate([wide, np.frombuffer(b"".join(b["wide"].to_pylist()), "<u8").reshape(-1, WIDE)])
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            found, leaders = [], np.array([len(key) - 1])
+            for low, high in zip(edge[:-1][np.diff(edge) > 1], edge[1:][np.diff(edge) > 1]):
+                rest, heads = np.arange(low, high), []
+                while len(rest):
+                    head = rest[0]
+                    near = np.bitwise_count(wide[low:high] ^ wide[head]).sum(1) <= most
+                    linked = np.flatnonzero(near) + low
+                    found.append(np.stack([np.full(len(linked), node[head]), node[linked]]))
+                    heads.append(head)
+                    rest = rest[1:][~near[rest[1:] - low]]
+                if high == len(key):
+                    leaders = np.array(heads)
+            key, node, wide = key[leaders], node[leaders], wide[leaders]  # the last bucket may go on
+            if found:
+                a, b_ = np.concatenate(found, axis=1)
+                yield batch(a=np.minimum(a, b_)[a != b_], b=np.maximum(a, b_)[a != b_])
+
+    spread = fps.select("node", "wide", "weak").mapInArrow(keys, "key long, node long, wide binary").repartition("key").sortWithinPartitions("key")
+    return spread.mapInArrow(stars, "a long, b long").distinct()
+
+
+def keepers(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """keep_id and keep_key (xxhash64 of the text) of the document that stays of each group of near-duplicates: the one with the
+    smallest doc_id.  Similarity is the Jaccard index of word shingles; wide fingerprints estimate it: sets with index s have
+    the cosine 2s / (1 + s), and a bit differs with the angle's share of a half turn."""
+    shared_checkpoints(docs.sparkSession)
+    most = round(WIDE * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 3
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    fps = wide_fingerprints(keyed, shingle, ["doc_id", "text_key"])
+    one = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
+    first = fps.groupBy("wide").agg(F.min(one).alias("first"), F.min("weak").alias("weak")).withColumn("node", F.xxhash64("wide")).checkpoint()
+    roots = components(similar(first, most))
+    named = first.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    return named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._shards import by_id
-from ._text import U64, WHITESPACE, chunks, mix, small_batches, windows
+from ._text import U64, WHITESPACE, chunks, mix, small_batches, windows, with_columns
 
 BASE = 0x9E3779B97F4A7C15
 #: Windows that one bucket holds, about.
@@ -60,14 +60,13 @@ def by_bucket(where: np.ndarray, buckets: int):
         yield int(b), order[cuts[b] : cuts[b + 1]]
 
 
-def dedup(docs: DataFrame, size: int = 13, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """keep, n_words, n_removed, kept (the other words joined by one space), spans (first and last word of each removed
-    interval, from 0) of every document."""
+def dedup(docs: DataFrame, size: int = 13, keep: list[str] = ("doc_id",), verbatim: bool = False) -> DataFrame:
+    """keep, n_words, n_removed, kept (the other words joined by one space; with verbatim, a text that loses nothing as it
+    was), spans (first and last word of each removed interval, from 0) of every document."""
     small_batches(docs.sparkSession)
     names = list(dict.fromkeys([*keep, "doc_id", "text"]))
     dealt, n, total = by_id(docs.select(*names))
     buckets = max(4, min(1 << 30, total // 6 // BUCKET))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
@@ -119,11 +118,11 @@ def dedup(docs: DataFrame, size: int = 13, keep: list[str] = ("doc_id",)) -> Dat
                     spans.append([])
                 n_all.append(len(g))
                 n_gone.append(lost)
-                kept.append(b" ".join(words).decode("utf-8", "replace"))
+                kept.append((t.text(k) if verbatim and not lost else b" ".join(words)).decode("utf-8", "replace"))
             before += len(w.starts)
         out = {k: table[k] for k in keep} | {"n_words": pa.array(n_all, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))}
         return pa.table(out)
 
     counted = dealt.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, hashes binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, "chunk int, bucket int, bits binary")
     told = counted.repartition(n, "chunk")
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, f"{schema}, n_words long, n_removed long, kept string, spans array<struct<first:bigint,last:bigint>>")
+    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, with_columns(docs, keep, "n_words long, n_removed long, kept string, spans array<struct<first:bigint,last:bigint>>"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Texts, chunks, small_batches
+from ._text import chunks, small_batches, with_columns
 
 # Insults that count without any label.
 SEEDS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "bastard", "dumbass", "asshole", "bitch"]
@@ -163,7 +163,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
     """keep, score (0 to 1), n_hits and the matched entries with their places in the folded text."""
     small_batches(docs.sparkSession)
     source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
@@ -178,4 +177,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
                 own = [b[k].slice(t.rows.start, len(t)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(total, pa.float64()), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.string()))], [*keep, "score", "n_hits", "hits"])
 
-    return source.mapInArrow(run, f"{schema}, score double, n_hits long, hits array<string>")
+    return source.mapInArrow(run, with_columns(source, keep, "score double, n_hits long, hits array<string>"))
