@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,16 +39,20 @@ def normalise_unit(u: Column) -> Column:
     return F.when(is_nr(u), F.lit("")).otherwise(F.translate(F.lower(strip(u)), " ·.", ""))
 
 
-def to_canonical(value: Column, unit: Column, field: Column) -> Column:
-    """struct(value, unit) in the field's canonical unit; both null where that can't be.  A loading efficiency without unit
-    is a share if it is at most 1, else a percentage."""
-    x, u = parse_number(value), normalise_unit(unit)
+def canonical_amount(x: Column, u: Column, field: Column) -> Column:
+    """struct(value, unit) in the field's canonical unit from a number and a normalised unit; both null where that can't be.  A
+    loading efficiency without unit is a share if it is at most 1, else a percentage."""
     factor = F.try_element_at(literal_map(FACTORS), F.concat(field, F.lit("|"), u))
     bare = (field == "loading_efficiency") & u.isin("", "fraction")
     amount = F.when(bare, F.when((x >= 0) & (x <= 1), x * 100.0).otherwise(x)).when(u != "", x * factor)
     return F.struct(amount.alias("value"), F.when(amount.isNotNull(), F.try_element_at(literal_map(CANONICAL_UNITS), field)).alias("unit"))
 
 
+def to_canonical(value: Column, unit: Column, field: Column) -> Column:
+    """canonical_amount of a raw value and unit."""
+    return canonical_amount(parse_number(value), normalise_unit(unit), field)
+
+
 def canonical_text(v: Column) -> Column:
     """Lower-cased with single spaces; abstentions are the sentinel itself."""
     return F.when(is_nr(v), F.lit(NR)).otherwise(F.lower(strip(F.regexp_replace(v, r"(?U)\s+", " "))))
@@ -58,10 +64,13 @@ def char_iou(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def text_match(a: Column, b: Column) -> Column:
+def either_contains(a: Column, b: Column) -> Column:
     """One canonical text inside the other."""
-    x, y = canonical_text(a), canonical_text(b)
-    return x.contains(y) | y.contains(x)
+    return a.contains(b) | b.contains(a)
+
+
+def text_match(a: Column, b: Column) -> Column:
+    return either_contains(canonical_text(a), canonical_text(b))
 
 
 def near(gold: Column, other: Column, tolerance: float) -> Column:
@@ -69,9 +78,14 @@ def near(gold: Column, other: Column, tolerance: float) -> Column:
     return F.when(F.abs(gold) < 1e-12, F.abs(other) < 1e-12).otherwise(F.abs(gold - other) <= tolerance * F.abs(gold))
 
 
-def numeric_match(gold: Column, other: Column, gold_x: Column, other_x: Column, tolerance: float) -> Column:
-    """Canonical amounts within tolerance; where either is unknown, equal raw texts."""
-    return F.when(gold_x.isNull() | other_x.isNull(), canonical_text(gold) == canonical_text(other)).otherwise(near(gold_x, other_x, tolerance))
+def numeric_match(gold_text: Column, other_text: Column, gold_x: Column, other_x: Column, tolerance: float) -> Column:
+    """Canonical amounts within tolerance; where either is unknown, equal canonical texts."""
+    return F.when(gold_x.isNull() | other_x.isNull(), gold_text == other_text).otherwise(near(gold_x, other_x, tolerance))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _product(x: Column, y: Column) -> tuple[Column, Column]:
@@ -83,32 +97,46 @@ def _product(x: Column, y: Column) -> tuple[Column, Column]:
     return p, ((xh * yh - p) + xh * yl + xl * yh) + xl * yl
 
 
-def number_string(x: Column) -> Column:
-    """Whole numbers without a point, others with six significant digits like C's %g: rounded by the exact binary value."""
-    shown = F.format_string("%.5e", x)
+def _six_digits(x: Column, shown: Column) -> Column:
     e = F.regexp_extract(shown, r"e([+-]\d+)$", 1).cast("int")
     far = F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
-    k = F.lit(5) - e  # decimals
-    tens = F.element_at(F.array(*[F.lit(10.0**i) for i in range(10)]), F.greatest(F.least(k, F.lit(9)), F.lit(0)) + 1)
-    p, rest = _product(F.abs(x), tens)
-    n = F.floor(p)
-    part = p - n
-    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (n % 2 == 1))))
-    m = n + up.cast("long")
-    scale = tens.cast("long")
-    decimals = F.regexp_replace(F.lpad((m % scale).cast("string"), k, "0"), "0+$", "")
-    near_ = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(m / tens).cast("string"), F.when((k > 0) & (decimals != ""), F.concat(F.lit("."), decimals)).otherwise(""))
-    near_ = F.when((e == 5) & (m >= 1_000_000), F.when(x < 0, "-1e+06").otherwise("1e+06")).otherwise(near_)
-    toward_zero = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
-    whole = F.abs(x - toward_zero) < 1e-9
-    return F.when(x.isNull(), F.lit(None).cast("string")).when(whole, toward_zero.cast("string")).when(e.between(-4, 5), near_).otherwise(far)
 
+    def close(k: Column) -> Column:
+        """With k decimals."""
+        tens = F.element_at(F.array(*[F.lit(10.0**i) for i in range(10)]), k + 1)
+        p, rest = _product(F.abs(x), tens)
+        n = F.floor(p)
+        part = p - n
+        up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (n % 2 == 1))))
 
-def answer_in_evidence(value: Column, evidence: Column, field: Column) -> Column:
-    """The number (or, without one, the text) stands in the evidence; an abstained evidence supports nothing."""
-    e, x = canonical_text(evidence), parse_number(value)
+        def written(m: Column) -> Column:
+            decimals = F.regexp_replace(F.lpad((m % tens.cast("long")).cast("string"), k, "0"), "0+$", "")
+            digits = F.concat(F.floor(m / tens).cast("string"), F.when((k > 0) & (decimals != ""), F.concat(F.lit("."), decimals)).otherwise(""))
+            return F.concat(F.when(x < 0, "-").otherwise(""), F.when((k == 0) & (m >= 1_000_000), "1e+06").otherwise(digits))
+
+        return let(n + up.cast("long"), written)
+
+    return F.when(e.between(-4, 5), let(F.lit(5) - e, close)).otherwise(far)
+
+
+def number_string(x: Column) -> Column:
+    """Whole numbers without a point, others with six significant digits like C's %g: rounded by the exact binary value."""
+
+    def of(v: Column) -> Column:
+        toward_zero = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))
+        return F.when(F.abs(v - toward_zero) < 1e-9, toward_zero.cast("string")).otherwise(let(F.format_string("%.5e", v), lambda shown: _six_digits(v, shown)))
+
+    return let(x, of)
+
+
+def supported(x: Column, text: Column, evidence: Column, field: Column) -> Column:
+    """The number x (or, without one, the canonical text) stands in the canonical evidence; an abstained one supports nothing."""
     numeric = field.isin(NUMERIC) & x.isNotNull()
-    return ~is_nr(evidence) & F.when(numeric, e.contains(number_string(x))).otherwise(e.contains(canonical_text(value)))
+    return (evidence != NR) & F.when(numeric, evidence.contains(number_string(x))).otherwise(evidence.contains(text))
+
+
+def answer_in_evidence(value: Column, evidence: Column, field: Column) -> Column:
+    return supported(parse_number(value), canonical_text(value), canonical_text(evidence), field)
 
 
 def value_in_evidence(value: Column, evidence: Column, field: Column) -> Column:

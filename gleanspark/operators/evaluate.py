@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import answer_in_evidence, canonical_text, char_iou, is_nr, near, numeric_match, text_match, to_canonical, value_in_evidence
+from ..functions.values import canonical_amount, canonical_text, char_iou, either_contains, is_nr, near, normalise_unit, numeric_match, parse_number, supported
 from ..schema import HEADLINE, NR, NUMERIC
 
 METRICS = ["naive_f1", "nr_f1", "acal_f1", "span_iou", "num_match", "unit_accuracy", "ae_consistency"]
@@ -20,8 +20,9 @@ class MatchPolicy:
 
     tolerance: float = 0.05
 
-    def match(self, field: Column, gold: Column, other: Column, gold_x: Column, other_x: Column) -> Column:
-        return F.when(field.isin(NUMERIC), numeric_match(gold, other, gold_x, other_x, self.tolerance)).otherwise(text_match(gold, other))
+    def match(self, field: Column, gold_text: Column, other_text: Column, gold_x: Column, other_x: Column) -> Column:
+        """From the values' canonical texts and canonical amounts (null if unknown)."""
+        return F.when(field.isin(NUMERIC), numeric_match(gold_text, other_text, gold_x, other_x, self.tolerance)).otherwise(either_contains(gold_text, other_text))
 
 
 def ordinal(field: Column) -> Column:
@@ -34,15 +35,18 @@ def paired(a: DataFrame, b: DataFrame, policy: MatchPolicy, keep: list[str] = ()
     left = a.select(*keep, "record_id", "field", *[F.col(p).alias(f"a_{p}") for p in ("value", "unit", "evidence_quote")])
     right = b.select("record_id", "field", *[F.col(p).alias(f"b_{p}") for p in ("value", "unit", "evidence_quote")])
     both = left.join(right, ["record_id", "field"])
-    both = both.withColumns({"a_emit": ~is_nr(F.col("a_value")), "b_emit": ~is_nr(F.col("b_value"))})
-    both = both.withColumns({f"{s}_x": to_canonical(F.col(f"{s}_value"), F.col(f"{s}_unit"), F.col("field")) for s in "ab"})
+    # in steps, so that each text is normalised once
+    steps = {}
+    for s in "ab":
+        steps |= {f"{s}_emit": ~is_nr(F.col(f"{s}_value")), f"{s}_n": parse_number(F.col(f"{s}_value")), f"{s}_u": normalise_unit(F.col(f"{s}_unit"))}
+        steps |= {f"{s}_t": canonical_text(F.col(f"{s}_value")), f"{s}_q": canonical_text(F.col(f"{s}_evidence_quote"))}
+    both = both.withColumns(steps).withColumns({f"{s}_x": canonical_amount(F.col(f"{s}_n"), F.col(f"{s}_u"), F.col("field")) for s in "ab"})
     emit = F.col("a_emit") & F.col("b_emit")
-    quotes = [canonical_text(F.col(f"{s}_evidence_quote")) for s in "ab"]
     return both.withColumns(
         {
             "emit": emit,
-            "same": emit & policy.match(F.col("field"), F.col("a_value"), F.col("b_value"), F.col("a_x.value"), F.col("b_x.value")),
-            "iou": F.when(emit & (quotes[0] != "") & (quotes[1] != ""), char_iou(*quotes)),
+            "same": emit & policy.match(F.col("field"), F.col("a_t"), F.col("b_t"), F.col("a_x.value"), F.col("b_x.value")),
+            "iou": F.when(emit & (F.col("a_q") != "") & (F.col("b_q") != ""), char_iou(F.col("a_q"), F.col("b_q"))),
             "num": emit & F.col("a_x.value").isNotNull() & F.col("b_x.value").isNotNull(),
         }
     )
@@ -66,11 +70,15 @@ def counted(pairs: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     )
 
 
+def with_support(cells: DataFrame) -> DataFrame:
+    """Adds _n, _t, _e (number, canonical value and evidence) and _ok: the evidence supports the answer."""
+    steps = {"_n": parse_number(F.col("value")), "_t": canonical_text(F.col("value")), "_e": canonical_text(F.col("evidence_quote"))}
+    return cells.withColumns(steps).withColumn("_ok", supported(F.col("_n"), F.col("_t"), F.col("_e"), F.col("field")))
+
+
 def ae_consistency(pred: DataFrame, by: list[str]) -> DataFrame:
     """Over all predicted cells, aligned or not: the share of emitted ones that their evidence supports."""
-    emitted = pred.where(~is_nr(F.col("value")))
-    ok = answer_in_evidence(F.col("value"), F.col("evidence_quote"), F.col("field"))
-    return emitted.groupBy(*by).agg(F.avg(ok.cast("double")).alias("ae_consistency"))
+    return with_support(pred.where(~is_nr(F.col("value")))).groupBy(*by).agg(F.avg(F.col("_ok").cast("double")).alias("ae_consistency"))
 
 
 def field_metrics(gold: DataFrame, pred: DataFrame, policy: MatchPolicy = MatchPolicy(), rel_tol: float = 0.05, by: list[str] = ()) -> DataFrame:
@@ -111,8 +119,9 @@ def evaluate_by_slice(gold: DataFrame, pred: DataFrame, by: list[str], least: in
 
 def quote_check(pred: DataFrame) -> DataFrame:
     """Emitted cells that their evidence doesn't support become "not reported"; dropped says which."""
-    drop = ~is_nr(F.col("value")) & ~value_in_evidence(F.col("value"), F.col("evidence_quote"), F.col("field"))
-    marked = pred.withColumn("dropped", drop)
+    steps = with_support(pred)
+    kept = F.col("_ok") | ((F.col("_e") != NR) & F.col("_e").contains(F.col("_t")))  # a number may also stand there as written
+    marked = steps.withColumn("dropped", (F.col("_t") != NR) & ~kept).drop("_n", "_t", "_e", "_ok")
     return marked.withColumns({p: F.when(F.col("dropped"), F.lit(NR)).otherwise(F.col(p)) for p in ("value", "unit", "evidence_quote")})
 
 
