@@ -27,7 +27,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of(5) == 0).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(fold_of(5) != 0).select("doc_id", "toxic")
-    model = toxicity.learn(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    model = toxicity.learn(docs.where(~F.col("held_out")).join(toxicity.bounded(labels), "doc_id"))
     scored = toxicity.score(docs, model, ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
 

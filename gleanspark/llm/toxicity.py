@@ -112,6 +112,14 @@ def entries_of(folded: str) -> set[str]:
     return {f" {w} " for w in words if 3 <= len(w) <= 24} | {f" {w[:n]}" for w in words for n in (5, 6, 7, 8) if len(w) > n}
 
 
+def bounded(labels: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Labels (doc_id, toxic) of about ``rows`` documents at most, drawn by a hash of doc_id: few enough to broadcast, so that no
+    text is shuffled to be joined with them."""
+    n = labels.count()
+    million = 1_000_000
+    return F.broadcast(labels if n <= rows else labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < rows * million // n))
+
+
 def learn(labelled: DataFrame, rows: int = 20_000, entries: int = 2_000, at_least: int = 8, odds: float = 3.0) -> Model:
     """labelled: doc_id, text and toxic (0 or 1).  Fits on a bounded sample of labelled rows: about ``rows``, drawn by a hash."""
     small_batches(labelled.sparkSession)
