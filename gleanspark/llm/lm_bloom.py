@@ -44,9 +44,9 @@ PROBES = 4
 BITS_EACH = 10
 DISCOUNT = 0.75
 #: Tokens that a worker counts before it sends.
-TOKENS = 3_000_000
+TOKENS = 1_000_000
 #: Tokens of the corpus for each bucket, about.
-BUCKET = 1_500_000
+BUCKET = 500_000
 PAIRS, CONTEXTS = U64(0x9B1A5C0D), U64(0x3C6EF372)
 
 
@@ -171,13 +171,14 @@ def array(x: pa.Scalar | bytes) -> np.ndarray:
     return np.frombuffer(x.as_buffer() if isinstance(x, pa.Scalar) else x, "<u8")
 
 
-def learn(texts: DataFrame, filter_bytes: int = 32 << 20, head_words: int = 1 << 20) -> tuple[Model, DataFrame]:
+def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 << 19) -> tuple[Model, DataFrame]:
     """texts: text of all training documents.  The model, and the exact counts of the words outside its head: word, c."""
     spark = texts.sparkSession
     small_batches(spark)
     shared_checkpoints(spark)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, int(size) // 6 // BUCKET)
+    tasks = max(4, n // 3)  # several buckets for each, which evens them out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -222,7 +223,7 @@ def learn(texts: DataFrame, filter_bytes: int = 32 << 20, head_words: int = 1 <<
 
     blobs = "words binary, word_n binary, word_kept array<bigint>, word_levels array<bigint>, pairs binary, pair_n binary, pair_kept array<bigint>, pair_levels array<bigint>"
     sent = texts.select("text").mapInArrow(count, "bucket int, words binary, word_n binary, pairs binary, pair_n binary")
-    counted = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(add, f"bucket int, {blobs}, n long, types long").checkpoint()
+    counted = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(add, f"bucket int, {blobs}, n long, types long").checkpoint()
 
     sums = [F.sum("n"), F.sum("types")] + [F.sum(F.col(c)[i]) for c in ("word_kept", "word_levels", "pair_levels") for i in range(len(CUTS))]
     n_tokens, types, *rest = (int(x or 0) for x in counted.agg(*sums).first())
@@ -279,7 +280,7 @@ def learn(texts: DataFrame, filter_bytes: int = 32 << 20, head_words: int = 1 <<
 
     # bounded: filter_bytes in all, and head_words words
     main = gathered(counted.select("bucket", "words", "word_n", "pairs", "pair_n").mapInArrow(segment, "bucket int, bits binary").collect(), bits)
-    moved = counted.select("pairs", "pair_n").mapInArrow(contexts, "bucket int, keys binary, sums binary").repartition(n, "bucket")
+    moved = counted.select("pairs", "pair_n").mapInArrow(contexts, "bucket int, keys binary, sums binary").repartition(tasks, "bucket")
     side = gathered(moved.groupBy("bucket").applyInArrow(context_segment, "bucket int, bits binary").collect(), context_bits)
     head = counted.select("words", "word_n").mapInArrow(frequent, "k binary, c binary").collect()
     keys = np.concatenate([array(r["k"]) for r in head]) if head else np.empty(0, U64)
