@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text in one chunk, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Chunks dealt to one task, about: several, so that tasks are even though chunks are hashed to them.
+CHUNKS_A_TASK = 4
 QUANTILES = 1024
 LAST = (1 << 63) - 1
 
@@ -24,12 +26,13 @@ def shared_checkpoints(spark: SparkSession) -> None:
 
 def by_id(docs: DataFrame, order: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
     """docs with ``order_key`` (a null id is last) and ``chunk``, which rises with the key: all rows of a key share a chunk.
-    Also the number of chunks and the bytes of all texts.  The rows are dealt out by chunk."""
+    Also the number of tasks and the bytes of all texts.  The rows are dealt out by chunk."""
     keyed = docs.withColumn("order_key", F.coalesce(F.col(order).cast("long"), F.lit(LAST)))
     grid = [i / QUANTILES for i in range(1, QUANTILES)]
     stats = keyed.agg(F.sum(F.octet_length(text)).alias("bytes"), F.percentile_approx("order_key", grid, 20_000).alias("grid")).first()
     size = int(stats["bytes"] or 0)
     n = max(1, -(-size // SHARD_BYTES))
+    tasks = max(1, -(-n // CHUNKS_A_TASK))
     if n <= QUANTILES:
         bounds, parts = np.array([stats["grid"][(i * QUANTILES) // n - 1] for i in range(1, n)] if stats["grid"] else [], np.int64), 1
     else:
@@ -47,4 +50,4 @@ def by_id(docs: DataFrame, order: str = "doc_id", text: str = "text") -> tuple[D
             at = at * parts + np.where((at == 0) | (at == len(bounds)), 0, inner).astype(np.int64)
         return pd.Series(at.astype(np.int32))
 
-    return keyed.withColumn("chunk", chunk("order_key")).repartition(n, "chunk"), n, size
+    return keyed.withColumn("chunk", chunk("order_key")).repartition(tasks, "chunk"), tasks, size

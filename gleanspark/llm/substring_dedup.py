@@ -30,7 +30,7 @@ from ._text import U64, WHITESPACE, chunks, mix, small_batches, windows, with_co
 
 BASE = 0x9E3779B97F4A7C15
 #: Windows that one bucket holds, about.
-BUCKET = 2_000_000
+BUCKET = 500_000
 
 
 def hashed(table: pa.Table, size: int, buckets: int):
@@ -123,6 +123,6 @@ def dedup(docs: DataFrame, size: int = 13, keep: list[str] = ("doc_id",), verbat
         out = {k: table[k] for k in keep} | {"n_words": pa.array(n_all, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))}
         return pa.table(out)
 
-    counted = dealt.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, hashes binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, "chunk int, bucket int, bits binary")
+    counted = dealt.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, hashes binary").repartition(max(4, buckets // 4), "bucket").groupBy("bucket").applyInArrow(count, "chunk int, bucket int, bits binary")
     told = counted.repartition(n, "chunk")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, with_columns(docs, keep, "n_words long, n_removed long, kept string, spans array<struct<first:bigint,last:bigint>>"))
