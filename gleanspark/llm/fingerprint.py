@@ -23,7 +23,7 @@ from ._shards import LAST, shared_checkpoints
 from .decontaminate import few
 
 #: Rows of one block of neighbouring ids, about.
-BLOCK = 4096
+BLOCK = 1024
 #: Quantiles of the ids between which blocks are spread evenly.
 RANGES = 64
 
@@ -59,7 +59,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     row = F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "text")
     inside = placed.withColumn("following", F.lead(row).over(Window.partitionBy("block").orderBy("order", "text_key")))
     heads = placed.groupBy("block").agg(F.min_by(row, F.struct("order", "text_key")).alias("first"))
-    # one row for each block, that is for thousands of documents
+    # one row for each block, that is for a thousand documents
     turn = heads.select("block").withColumn("next_block", F.lead("block").over(Window.orderBy("block")))
     turn = turn.withColumn("next_block", F.coalesce("next_block", F.min("block").over(Window.partitionBy(F.lit(0)))))
     bridge = turn.join(heads.select(F.col("block").alias("next_block"), "first"), "next_block").select("block", "first")
