@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, language_id, license_scan, lm_bloom, mixing, simhash, substring_dedup, toxicity, url_filter
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("posterior")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,3 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
