@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bibliography import norm_doi, norm_title
 from ..functions.values import strip
+from ..session import shared_checkpoints
 
 KEYS = ["k_doi", "k_pmid", "k_pmcid", "k_title", "k_url"]
 
@@ -37,14 +38,14 @@ def staged(records: DataFrame, order: str = "seq") -> DataFrame:
     return df.drop("_ord", *KEYS)
 
 
-def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: node, key.  node and component (least node that shared keys lead to), by rounds of least labels over the keys."""
     labels = edges.groupBy("node").agg(F.min("node").alias("component"))
     while True:
         by_key = edges.join(labels, "node").groupBy("key").agg(F.min("component").alias("low"))
         new = edges.join(by_key, "key").groupBy("node").agg(F.min("low").alias("low")).join(labels, "node")
         new = new.select("node", F.least("low", "component").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        new = new.checkpoint() if checkpoint else new.persist()
+        new = new.checkpoint()
         moved = new.agg(F.max(F.col("moved").cast("int"))).first()[0]
         labels = new.select("node", "component")
         if not moved:
@@ -72,6 +73,7 @@ def greedy(records: DataFrame, order: str = "seq") -> DataFrame:
     """One pass in order: DOI, PMID, PMCID, title, URL are looked up among registered keys, the richer record (later on ties)
     takes the slot.  A record's fate depends only on records it is connected to by keys, so the pass runs by connected
     component; slot_seq is the place in the output.  Records that share no key need no pass at all."""
+    shared_checkpoints(records.sparkSession)
     low = lambda c: F.nullif(F.lower(strip(F.col(c))), F.lit(""))
     keyed = records.select(
         F.col(order).cast("long").alias("seq"), low("doi").alias("k_doi"), blank_to_null(F.col("pmid")).alias("k_pmid"), blank_to_null(F.col("pmcid")).alias("k_pmcid"),

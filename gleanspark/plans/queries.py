@@ -145,10 +145,6 @@ def dedup_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
     return dedup.greedy(warehouse(spark, sf_dir)).select("slot_seq", "seq", "record_id")
 
 
