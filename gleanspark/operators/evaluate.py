@@ -102,9 +102,11 @@ def field_metrics(gold: DataFrame, pred: DataFrame, policy: MatchPolicy = MatchP
 
 def with_macro(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """The rows and their means over fields (nulls left out), with field_ord for the order: the mean comes last."""
-    macro = rows.groupBy(*by).agg(F.max("n").alias("n"), *[F.avg(m).alias(m) for m in METRICS])
-    macro = macro.select(*by, F.lit("MACRO").alias("field"), "n", *METRICS, *[F.lit(None).cast("long").alias(c) for c in COUNTS], F.lit(99).alias("field_ord"))
-    return rows.withColumn("field_ord", ordinal(F.col("field"))).unionByName(macro)
+    # each row counts for its field and for the mean, so the scores are computed once
+    twice = rows.withColumn("_of", F.explode(F.array("field", F.lit("MACRO")))).groupBy(*by, F.col("_of").alias("field"))
+    out = twice.agg(F.max("n").alias("n"), *[F.avg(m).alias(m) for m in METRICS], *[F.max(c).alias(c) for c in COUNTS])
+    single = F.col("field") != "MACRO"
+    return out.select(*by, "field", "n", *METRICS, *[F.when(single, F.col(c)).alias(c) for c in COUNTS], F.when(single, ordinal(F.col("field"))).otherwise(99).alias("field_ord"))
 
 
 def evaluate(gold: DataFrame, pred: DataFrame, policy: MatchPolicy = MatchPolicy(), rel_tol: float = 0.05) -> DataFrame:
