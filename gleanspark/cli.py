@@ -1,4 +1,4 @@
-"""Command line: build-iaa-subset, build-splits, evaluate, reconcile, harvest, recover, quote-check."""
+"""Command line: build-iaa-subset, build-splits, evaluate, reconcile, quote-check, recover, harvest."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .operators import dedup, evaluate, frames, reconcile, recover, sampling
 from .schema import IAA_FRONT, annotation_columns
+from .session import shared_checkpoints
+from .sources import harvest
 
 
 def build_iaa_subset(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -73,6 +75,34 @@ def run_recover(spark: SparkSession, a: argparse.Namespace) -> None:
             frames.write_csv(merged.drop("seq"), a.write_warehouse)
 
 
+def call(url: str, params: dict) -> tuple[int, object]:
+    """One HTTP request: status, and the parsed JSON or the text."""
+    import urllib.error
+    import urllib.parse
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params)}", timeout=30) as r:
+            text = r.read().decode()
+            return r.status, json.loads(text) if "json" in r.headers.get("Content-Type", "") else text
+    except urllib.error.HTTPError as e:
+        return e.code, None
+
+
+def make_source(api: str) -> harvest.Source:
+    return {"OpenAlex": harvest.OpenAlex, "PubMed": harvest.PubMed}[api](call)
+
+
+def run_harvest(spark: SparkSession, a: argparse.Namespace) -> None:
+    families = {k: v for k, v in harvest.QUERY_FAMILIES.items() if a.family in (None, k)}
+    work = harvest.work_table(spark, [a.source] if a.source else ["OpenAlex", "PubMed"], families)
+    harvest.land(harvest.harvest(work, make_source, a.per_query_cap), f"{a.out}/raw")  # each request once: what follows reads what landed
+    raw = spark.read.schema("query_family string, query string, raw string, error string, api string").json(f"{a.out}/raw")
+    frames.write_csv(harvest.harvest_log(raw), f"{a.out}/log")
+    rows = harvest.parse_openalex(raw).unionByName(harvest.parse_pubmed(raw)).withColumn("seq", F.monotonically_increasing_id()).checkpoint()
+    frames.write_csv(dedup.greedy(rows).drop("slot_seq", "seq"), f"{a.out}/warehouse")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gleanspark")
     sub = p.add_subparsers(required=True)
@@ -90,6 +120,7 @@ def parser() -> argparse.ArgumentParser:
     command("evaluate", run_evaluate, "gold", "pred", out=None)
     command("reconcile", run_reconcile, "a", "b", "out")
     command("quote-check", quote_check, "gold", "pred", "out")
+    command("harvest", run_harvest, "out", per_query_cap=200, family=None, source=None)
     command("recover", run_recover, "gold", "warehouse", "out", landed=None, write_warehouse=None)
     return p
 
@@ -97,6 +128,7 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    shared_checkpoints(spark)
     a.run(spark, a)
 
 

@@ -147,3 +147,22 @@ def splits_meta(splits: DataFrame, seed: int = 42, dev_fraction: float = 0.10) -
         F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("split") == "dev").alias("n_dev"), F.count_if(F.col("split") == "test").alias("n_test"), F.count_if("in_iaa").alias("n_iaa"),
         F.lit(seed).alias("seed"), F.lit(dev_fraction).alias("dev_fraction"), *[F.sort_array(F.collect_set(s)).alias(s) for s in SLICES],
     )
+
+
+def candidate_pool(df: DataFrame, by: list[str], n: int, score: str) -> DataFrame:
+    """About n rows, balanced over the strata: each gives its rows with the highest score, as many as an equal share."""
+    groups = df.select(*by).distinct()
+    share = -(-n // max(1, groups.count()))
+    pool = df.withColumn("_share", F.lit(share)).withColumn("_draw", draw(42))
+    return taken(pool, by, "_share", [F.desc(score), F.col("_draw")]).drop("_share", "_draw")
+
+
+def temporal_split(df: DataFrame, first_test_year: int, year: str = "year") -> DataFrame:
+    """dev before the year, test from it on; records without a year are test."""
+    y = F.col(year).cast("string").try_cast("int")
+    return df.withColumn("split", F.when(y < first_test_year, "dev").otherwise("test"))
+
+
+def holdout_split(df: DataFrame, column: str, held_out: list[str]) -> DataFrame:
+    """test for records with one of the values (a source, a document type), dev for the others."""
+    return df.withColumn("split", F.when(F.coalesce(F.col(column), F.lit("unknown")).isin(held_out), "test").otherwise("dev"))
