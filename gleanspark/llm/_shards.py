@@ -1,14 +1,14 @@
-"""Documents as ordered chunks of bounded size, and where checkpoints go."""
+"""Documents as ordered chunks of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoints as shared_checkpoints
+
 #: Text in one chunk, about.
 SHARD_BYTES = 4 << 20
 #: Chunks dealt to one task, about: several, so that tasks are even though chunks are hashed to them.
@@ -17,13 +17,6 @@ QUANTILES = 1024
 LAST = (1 << 63) - 1
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's spark.checkpoint.dir; only where none is set (as in tests) to a folder of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-
-
 def by_id(docs: DataFrame, order: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
     """docs with ``order_key`` (a null id is last) and ``chunk``, which rises with the key: all rows of a key share a chunk.
     Also the number of tasks and the bytes of all texts.  The rows are dealt out by chunk."""
