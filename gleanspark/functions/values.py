@@ -18,9 +18,13 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+#: Unicode whitespace.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(v: Column) -> Column:
-    """Without Unicode whitespace at the ends (trim only knows the space)."""
-    return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    """Without Unicode whitespace at the ends (plain trim only knows the space)."""
+    return F.btrim(v, F.lit(BLANKS))
 
 
 def is_nr(v: Column) -> Column:
@@ -32,7 +36,9 @@ def parse_number(v: Column) -> Column:
     """The first number of a value; null for abstentions, bounds and ranges."""
     plain = F.replace(F.replace(F.replace(v, F.lit("−"), F.lit("-")), F.lit("±"), F.lit(" ")), F.lit("+/-"), F.lit(" "))
     found = F.regexp_extract(plain, NUMBER, 0).try_cast("double")
-    return F.when(is_nr(v) | v.rlike("[<>≤≥]") | v.rlike(r"(?U)\d\s*[-–]\s*\d"), F.lit(None).cast("double")).otherwise(found)
+    bound = v.contains("<") | v.contains(">") | v.contains("≤") | v.contains("≥")
+    ranged = (v.contains("-") | v.contains("–")) & v.rlike(r"(?U)\d\s*[-–]\s*\d")
+    return F.when(is_nr(v) | bound | ranged, F.lit(None).cast("double")).otherwise(found)
 
 
 def normalise_unit(u: Column) -> Column:
