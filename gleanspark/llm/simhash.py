@@ -244,12 +244,15 @@ def similar(fps: DataFrame, most: int) -> DataFrame:
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             found, leaders = [], np.array([len(key) - 1])
             for low, high in zip(edge[:-1][np.diff(edge) > 1], edge[1:][np.diff(edge) > 1]):
-                rest, heads = np.arange(low, high), []
+                rest, heads, part = np.arange(low, high), [], np.arange(high - low)
                 while len(rest):
                     head = rest[0]
                     near = np.bitwise_count(wide[low:high] ^ wide[head]).sum(1) <= most
-                    linked = np.flatnonzero(near) + low
-                    found.append(np.stack([np.full(len(linked), node[head]), node[linked]]))
+                    # one edge to each part that the head reaches and isn't in: a bucket has fewer edges than nodes
+                    reached, first = np.unique(part[near], return_index=True)
+                    new = np.flatnonzero(near)[first[reached != part[head - low]]]
+                    part[np.isin(part, reached)] = part[head - low]
+                    found.append(np.stack([np.full(len(new), node[head]), node[low + new]]))
                     heads.append(head)
                     rest = rest[1:][~near[rest[1:] - low]]
                 if high == len(key):
@@ -259,7 +262,7 @@ def similar(fps: DataFrame, most: int) -> DataFrame:
                 a, b_ = np.concatenate(found, axis=1)
                 yield batch(a=np.minimum(a, b_)[a != b_], b=np.maximum(a, b_)[a != b_])
 
-    spread = fps.select("node", "wide", "weak").mapInArrow(keys, "key long, node long, wide binary").repartition("key").sortWithinPartitions("key")
+    spread = fps.select("node", "wide", "weak").mapInArrow(keys, "key long, node long, wide binary").repartition("key").sortWithinPartitions("key", "node")
     return spread.mapInArrow(stars, "a long, b long").distinct()
 
 
