@@ -4,11 +4,12 @@ Counts of words and word pairs are taken over all training texts: each worker
 sends what it counted, packed, to hash buckets, which add up.  Counts are then
 quantised to a logarithmic scale, and a key whose count has level q is put into
 a Bloom filter q times, as (key, 1) to (key, q).  Reading a count is a run of
-membership probes up to the first miss.  The filter has ``filter_bytes`` bytes
-at any size of the corpus (that bound makes it fit to broadcast): the scale
-starts at the least count with which all insertions fit at ten bits each, and
-what is rarer reads as unseen.  Each bucket owns one segment of the filter and
-fills it alone, so building it moves no key again.
+membership probes up to the first miss.  The scale starts at count 1 and the
+filter grows with the corpus, ten bits for each insertion, so whatever was seen
+in training is in it.  Each bucket owns one segment of the filter and fills it
+alone, so building it moves no key again.  Up to ``filter_bytes`` the filter is
+broadcast; beyond, each chunk of texts sends its distinct keys to the segments
+and gets a byte for each back, with the same scores.
 
 The probability of a word after a word is the discounted pair count by the
 first word's count, plus the weight that discounting left times the word's
@@ -25,24 +26,30 @@ out; an empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shards import shared_checkpoints
 from ._text import U64, WHITESPACE, Texts, Words, chunks, mix, small_batches, with_columns
 
 END = U64(0x5E7D0FE4D)
-#: Counts may start their scale at these.
+#: The counts from which words may be head words.
 CUTS = sorted({int(round(2 ** (i / 2))) for i in range(84)})
 SCALE = 1.5
 PROBES = 4
 BITS_EACH = 10
 DISCOUNT = 0.75
+#: Discounted counts are whole numbers of such parts.
+PARTS = 4
 #: Tokens that a worker counts before it sends.
 TOKENS = 1_000_000
 #: Tokens of the corpus for each bucket, about.
@@ -66,6 +73,21 @@ def bucket_of(keys: np.ndarray, salt: U64, n: int) -> np.ndarray:
     return ((mix(keys ^ salt) >> U64(20)) % U64(n)).astype(np.int64)
 
 
+def short(keys: np.ndarray, salt: U64) -> np.ndarray:
+    """What a bucket knows a key by: 32 bits, independent of the bucket.  With some 400,000 keys in a bucket an unseen key meets
+    a seen one with 0.0001, against 0.01 of the filter itself."""
+    return mix(mix(keys ^ salt) ^ U64(0x2545F4914F6CDD1D)) >> U64(32)
+
+
+def dealt(keys: np.ndarray, salt: U64, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has keys, and where they are, in their order."""
+    b = bucket_of(keys, salt, n)
+    order = np.argsort(b.astype(np.uint16) if n <= 1 << 16 else b, kind="stable")
+    cuts = np.searchsorted(b[order], np.arange(n + 1))
+    for i in np.flatnonzero(np.diff(cuts)):
+        yield int(i), order[cuts[i] : cuts[i + 1]]
+
+
 def levels(counts: np.ndarray, least: float) -> np.ndarray:
     """Quantised counts: 0 below least, then one more for each factor of SCALE."""
     c = np.asarray(counts, float)
@@ -88,17 +110,19 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Filter:
-    """n segments of the same number of bits; a key's bits lie in the segment of its bucket."""
+    """n segments, of the same number of bits or of one for each; a key's bits lie in the segment of its bucket."""
 
-    def __init__(self, segments: int, bits: int, data: np.ndarray):
-        self.segments, self.bits, self.data = segments, bits, data
+    def __init__(self, segments: int, bits: int | np.ndarray, data: np.ndarray):
+        self.segments, self.data = segments, data
+        self.bits = np.broadcast_to(np.asarray(bits, np.int64), segments)
+        self.first = np.concatenate([[0], np.cumsum(self.bits // 8)])
 
     @staticmethod
-    def places(keys: np.ndarray, salt: U64, level: np.ndarray | int, bits: int) -> Iterator[np.ndarray]:
+    def places(keys: np.ndarray, salt: U64, level: np.ndarray | int, bits: int | np.ndarray) -> Iterator[np.ndarray]:
         a = mix(keys ^ mix(salt + np.atleast_1d(np.asarray(level, U64)) * U64(0x9E3779B97F4A7C15)))
         step = (a >> U64(32)) | U64(1)
         for j in range(PROBES):
-            yield (mix(a + step * U64(j)) % U64(bits)).astype(np.int64)
+            yield (mix(a + step * U64(j)) % np.asarray(bits, U64)).astype(np.int64)
 
     @classmethod
     def filled(cls, parts: list[tuple[np.ndarray, U64, np.ndarray]], bits: int) -> bytes:
@@ -110,17 +134,23 @@ class Filter:
                     on[at] = True
         return np.packbits(on, bitorder="little").tobytes()
 
-    def read(self, keys: np.ndarray, salt: U64, owner: U64) -> np.ndarray:
-        """Levels of the keys."""
+    @classmethod
+    def sized(cls, parts: list[tuple[np.ndarray, U64, np.ndarray]]) -> bytes:
+        """One segment with BITS_EACH bits for each insertion."""
+        return cls.filled(parts, max(512, -(-sum(int(q.sum()) for *_, q in parts) * BITS_EACH // 8) * 8))
+
+    def read(self, keys: np.ndarray, salt: U64, owner: U64, owned: np.ndarray | None = None) -> np.ndarray:
+        """Levels of the keys; owned: their buckets, where the keys don't tell."""
         q = np.zeros(len(keys), np.int64)
         todo = np.arange(len(keys))
-        base = bucket_of(keys, owner, self.segments) * (self.bits // 8)
+        owned = bucket_of(keys, owner, self.segments) if owned is None else owned
+        base, bits = self.first[owned], self.bits[owned]
         level = 1
         while len(todo):
             own, b = keys[todo], base[todo]
             ok = np.ones(len(todo), bool)
             live = np.arange(len(todo))
-            for at in self.places(own, salt, level, self.bits):
+            for at in self.places(own, salt, level, bits[todo]):
                 at = at[live]
                 live = live[self.data[b[live] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1 == 1]
                 if not len(live):
@@ -133,9 +163,26 @@ class Filter:
         return q
 
 
+class Asked:
+    """The distinct words and pairs of tokens, and which of them each token is."""
+
+    def __init__(self, tok: np.ndarray):
+        self.words, self.which = np.unique(tok, return_inverse=True)
+        self.pairs, self.pair = np.unique(pairs(tok), return_inverse=True)
+
+    def keys(self) -> list[tuple[np.ndarray, U64]]:
+        """What the filters are asked, with the salt of each: words, words as contexts, pairs."""
+        return [(self.words, U64(0)), (self.words & U64(0xFFFFFFFF), CONTEXTS), (self.pairs, PAIRS)]
+
+
 class Model:
-    def __init__(self, tokens: int, types: int, filter_: Filter, contexts: Filter, least: tuple[float, float], head: tuple[np.ndarray, np.ndarray]):
-        self.tokens, self.types, self.filter, self.contexts, self.least, self.head = tokens, types, filter_, contexts, least, head
+    """filter and contexts are None where they exceed the broadcast bound; then segments has them: bucket, main, side."""
+
+    def __init__(self, tokens: int, types: int, filter_: Filter | None, contexts: Filter | None, head: tuple[np.ndarray, np.ndarray], buckets: int, segments: DataFrame | None = None):
+        self.tokens, self.types, self.filter, self.contexts, self.head, self.buckets, self.segments = tokens, types, filter_, contexts, head, buckets, segments
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"segments": None}
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Counts of head words, 0 for others."""
@@ -145,22 +192,25 @@ class Model:
         at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
         return np.where(keys[at] == words, counts[at], 0)
 
-    def log10(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens the model's log10 probability; also distinct words, which of them each token is, their exact head counts."""
-        words, which = np.unique(tok, return_inverse=True)
+    def levels(self, asked: Asked) -> list[np.ndarray]:
+        """Of asked.keys(), from filters that were broadcast."""
+        return [f.read(short(k, salt), salt, salt, bucket_of(k, salt, f.segments)) for f, (k, salt) in zip((self.filter, self.contexts, self.filter), asked.keys())]
+
+    def log10(self, asked: Asked, q: list[np.ndarray]) -> np.ndarray:
+        """Of all tokens the model's log10 probability; q: levels of asked.keys()."""
+        which = asked.which
         total = self.tokens + 0.5 * (self.types + 1)
-        count = value_of(self.filter.read(words, U64(0), U64(0)), self.least[0])
+        count, kept, seen = (value_of(x, 1.0) for x in q)
         alone = (count + 0.5) / total
-        kept = value_of(self.contexts.read(words & U64(0xFFFFFFFF), CONTEXTS, CONTEXTS), 1.0)
+        kept /= PARTS
         kept[count == 0] = 0
-        before = np.concatenate([[np.searchsorted(words, END)], which[:-1]])
+        before = np.concatenate([[np.searchsorted(asked.words, END)], which[:-1]])
         p = alone[which]
         h = np.flatnonzero((kept[before] > 0) & (count[which] > 0))  # only after words that have pairs in the filter
-        seen = value_of(self.filter.read(pairs(tok)[h], PAIRS, PAIRS), self.least[1])
         c, s = count[before[h]], kept[before[h]]
         c = np.maximum(c, s + DISCOUNT)
-        p[h] = np.maximum(np.minimum(seen, c) - DISCOUNT, 0) / c + (1 - s / c) * p[h]
-        return np.log10(np.minimum(p, 1.0)), words, which, self.exact(words)
+        p[h] = np.maximum(np.minimum(seen[asked.pair[h]], c) - DISCOUNT, 0) / c + (1 - s / c) * p[h]
+        return np.log10(np.minimum(p, 1.0))
 
 
 def binary(x: np.ndarray) -> bytes:
@@ -172,7 +222,8 @@ def array(x: pa.Scalar | bytes) -> np.ndarray:
 
 
 def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 << 19) -> tuple[Model, DataFrame]:
-    """texts: text of all training documents.  The model, and the exact counts of the words outside its head: word, c."""
+    """texts: text of all training documents.  The model, and the exact counts of the words outside its head: word, c.
+    filter_bytes: up to which the filter is broadcast; it holds all that was seen at any size."""
     spark = texts.sparkSession
     small_batches(spark)
     shared_checkpoints(spark)
@@ -188,12 +239,8 @@ def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 <<
             rows = {}
             for kind, found, salt in ((0, held, U64(0)), (1, pair, PAIRS)):
                 keys, c = np.unique(np.concatenate(found), return_counts=True)
-                b = bucket_of(keys, salt, n)
-                order = np.argsort(b, kind="stable")
-                cuts = np.searchsorted(b[order], np.arange(n + 1))
-                for i in np.flatnonzero(np.diff(cuts)):
-                    at = order[cuts[i] : cuts[i + 1]]
-                    rows.setdefault(int(i), [b"", b"", b"", b""])[2 * kind : 2 * kind + 2] = [binary(keys[at]), c[at].astype("<u4").tobytes()]
+                for i, at in dealt(keys, salt, n):
+                    rows.setdefault(i, [b"", b"", b"", b""])[2 * kind : 2 * kind + 2] = [binary(keys[at]), c[at].astype("<u4").tobytes()]
             held.clear()
             pair.clear()
             cols = [pa.array(list(rows), pa.int32()), *(pa.array([r[j] for r in rows.values()], pa.binary()) for j in range(4))]
@@ -210,61 +257,45 @@ def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 <<
             yield send()
 
     def add(table: pa.Table) -> pa.Table:
-        out, sums = [], []
-        for keys, numbers, least in (("words", "word_n", 1), ("pairs", "pair_n", 2)):
+        sums = []
+        for keys, numbers in (("words", "word_n"), ("pairs", "pair_n")):
             k = np.concatenate([array(x) for x in table[keys]])
             c = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table[numbers]]).astype(np.int64)
-            k, c = added(k, c)
-            sums += [int(c.sum()), len(k)]
-            k, c = k[c >= least], c[c >= least]
-            out += [binary(k), binary(c), [int((c >= t).sum()) for t in CUTS], [int(levels(c, t).sum()) for t in CUTS]]
-        names = ["words", "word_n", "word_kept", "word_levels", "pairs", "pair_n", "pair_kept", "pair_levels"]
-        return pa.table({"bucket": table["bucket"].slice(0, 1), **{k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.list_(pa.int64())) for k, v in zip(names, out)}, "n": pa.array(sums[:1], pa.int64()), "types": pa.array(sums[1:2], pa.int64())})
-
-    blobs = "words binary, word_n binary, word_kept array<bigint>, word_levels array<bigint>, pairs binary, pair_n binary, pair_kept array<bigint>, pair_levels array<bigint>"
+            sums.append(added(k, c))
+        (word, word_n), (pair, pair_n) = sums
+        q = levels(pair_n, 1.0)
+        main = Filter.sized([(short(word, U64(0)), U64(0), levels(word_n, 1.0)), (short(pair, PAIRS), PAIRS, q)])
+        before, kept = added(pair >> U64(32), value_of(q, 1.0) - DISCOUNT)
+        row = {"words": binary(word), "word_n": binary(word_n), "word_kept": [int((word_n >= t).sum()) for t in CUTS], "main": main, "before": before.astype("<u4").tobytes(), "kept": kept.astype("<f4").tobytes()}
+        columns = {k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.list_(pa.int64())) for k, v in row.items()}
+        return pa.table({"bucket": table["bucket"].slice(0, 1), **columns, "n": pa.array([int(word_n.sum())], pa.int64()), "types": pa.array([len(word)], pa.int64())})
+
     sent = texts.select("text").mapInArrow(count, "bucket int, words binary, word_n binary, pairs binary, pair_n binary")
+    blobs = "words binary, word_n binary, word_kept array<bigint>, main binary, before binary, kept binary"
     counted = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(add, f"bucket int, {blobs}, n long, types long").checkpoint()
 
-    sums = [F.sum("n"), F.sum("types")] + [F.sum(F.col(c)[i]) for c in ("word_kept", "word_levels", "pair_levels") for i in range(len(CUTS))]
-    n_tokens, types, *rest = (int(x or 0) for x in counted.agg(*sums).first())
-    word_kept, word_levels, pair_levels = (rest[i * len(CUTS) : (i + 1) * len(CUTS)] for i in range(3))
-    room = filter_bytes * 8 // BITS_EACH
-    share = room * 3 // 4  # the other quarter is the contexts'
-    at_word = next(i for i, x in enumerate(word_levels) if x <= share // 2 or i == len(CUTS) - 1)
-    at_pair = next(i for i, x in enumerate(pair_levels) if CUTS[i] >= 2 and x <= share - word_levels[at_word] or i == len(CUTS) - 1)
-    least = (float(CUTS[at_word]), float(CUTS[at_pair]))
+    sums = [F.sum(x) for x in ("n", "types")] + [F.sum(F.octet_length("main"))] + [F.sum(F.col("word_kept")[i]) for i in range(len(CUTS))]
+    n_tokens, types, main_bytes, *word_kept = (int(x or 0) for x in counted.agg(*sums).first())
     at_head = next(i for i, x in enumerate(word_kept) if x <= head_words or i == len(CUTS) - 1)
     head_from = CUTS[at_head]
-    # segments as large as these keys need at ten bits each, the whole never over the bound
-    bits = max(512, min(filter_bytes * 6 // n, -(-(word_levels[at_word] + pair_levels[at_pair]) * BITS_EACH * 5 // 4 // n)) // 8 * 8)
-    context_bits = max(512, min(filter_bytes * 2 // n, bits) // 8 * 8)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, c in zip(b["pairs"], b["pair_n"]):
-                k, c = array(k), array(c).astype(np.int64)
-                k, c = added(k[c >= least[1]] >> U64(32), value_of(levels(c[c >= least[1]], least[1]), least[1]) - DISCOUNT)
-                where = bucket_of(k, CONTEXTS, n)
-                rows = [(int(i), k[where == i].astype("<u4").tobytes(), c[where == i].astype("<f8").tobytes()) for i in np.unique(where)]
+            for k, c in zip(b["before"], b["kept"]):
+                k, c = np.frombuffer(k.as_buffer(), "<u4").astype(U64), np.frombuffer(c.as_buffer(), "<f4")
+                rows = [(i, k[at].astype("<u4").tobytes(), c[at].tobytes()) for i, at in dealt(k, CONTEXTS, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "keys", "sums"])
 
     def context_segment(table: pa.Table) -> pa.Table:
         k = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]]).astype(U64)
-        k, c = added(k, np.concatenate([np.frombuffer(x.as_buffer(), "<f8") for x in table["sums"]]))
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "bits": pa.array([Filter.filled([(k, CONTEXTS, levels(c, 1.0))], context_bits)], pa.binary())})
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for words, word_n, pair, pair_n in zip(b["words"], b["word_n"], b["pairs"], b["pair_n"]):
-                rows.append(Filter.filled([(array(words), U64(0), levels(array(word_n), least[0])), (array(pair), PAIRS, levels(array(pair_n), least[1]))], bits))
-            yield pa.RecordBatch.from_arrays([b["bucket"], pa.array(rows, pa.binary())], ["bucket", "bits"])
+        k, c = added(k, np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in table["sums"]]).astype(float))
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "side": pa.array([Filter.sized([(short(k, CONTEXTS), CONTEXTS, levels(c * PARTS, 1.0))])], pa.binary())})
 
-    def gathered(rows: list, each: int) -> Filter:
-        data = np.zeros(n * (each // 8), np.uint8)
-        for r in rows:
-            data[r["bucket"] * (each // 8) : (r["bucket"] + 1) * (each // 8)] = np.frombuffer(r["bits"], np.uint8)
-        return Filter(n, each, data)
+    def gathered(rows: list) -> Filter:
+        parts = [bytes(64)] * n
+        for i, bits in rows:
+            parts[i] = bits
+        return Filter(n, np.array([len(x) * 8 for x in parts]), np.frombuffer(b"".join(parts), np.uint8))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,15 +309,23 @@ def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 <<
                 k, c = array(k), array(c)
                 yield pa.RecordBatch.from_arrays([pa.array(k[c < head_from].view(np.int64)), pa.array(c[c < head_from].astype(np.int64))], ["word", "c"])
 
-    # bounded: filter_bytes in all, and head_words words
-    main = gathered(counted.select("bucket", "words", "word_n", "pairs", "pair_n").mapInArrow(segment, "bucket int, bits binary").collect(), bits)
-    moved = counted.select("pairs", "pair_n").mapInArrow(contexts, "bucket int, keys binary, sums binary").repartition(tasks, "bucket")
-    side = gathered(moved.groupBy("bucket").applyInArrow(context_segment, "bucket int, bits binary").collect(), context_bits)
+    moved = counted.select("before", "kept").mapInArrow(contexts, "bucket int, keys binary, sums binary").repartition(tasks, "bucket")
+    sides = moved.groupBy("bucket").applyInArrow(context_segment, "bucket int, side binary").checkpoint()
+    main = side = segments = None
+    if main_bytes + int(sides.agg(F.sum(F.octet_length("side"))).first()[0] or 0) <= filter_bytes:
+        main, side = (gathered(x.collect()) for x in (counted.select("bucket", "main"), sides.select("bucket", "side")))
+    else:
+        segments = counted.select("bucket", "main").join(sides, "bucket", "full")
+    # bounded: head_words words
     head = counted.select("words", "word_n").mapInArrow(frequent, "k binary, c binary").collect()
     keys = np.concatenate([array(r["k"]) for r in head]) if head else np.empty(0, U64)
     c = np.concatenate([array(r["c"]) for r in head]).astype(np.int64) if head else np.empty(0, np.int64)
     order = np.argsort(keys)
-    return Model(n_tokens, types, main, side, least, (keys[order], c[order])), counted.select("words", "word_n").mapInArrow(rare, "word long, c long")
+    # what the counts and contexts shuffled is used up, and its files go once nothing refers to it
+    del sent, moved
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return Model(n_tokens, types, main, side, (keys[order], c[order]), n, segments), counted.select("words", "word_n").mapInArrow(rare, "word long, c long")
 
 
 def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -296,38 +335,92 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
     sent = spark.sparkContext.broadcast(model)
     source = docs.select(*keep, "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(t: Texts, own: list[pa.Array], q: list[np.ndarray] | None = None) -> pa.RecordBatch:
         m: Model = sent.value
-        for b in batches:
-            for t in chunks(b["text"], lower=True):
-                tok, first, _ = tokens(t)
-                log_p, words, which, exact = m.log10(tok)
-                doc = np.repeat(np.arange(len(t)), np.diff(first))
-                known = exact[which]
-                base = np.bincount(doc, np.where(known > 0, np.log10(np.maximum(known, 1) + 0.5), 0.0), len(t))
-                tail = np.flatnonzero(known == 0)
-                # each text's rarer words, once each with how often
-                order = tail[np.lexsort((tok[tail], doc[tail]))]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (tok[order][1:] != tok[order][:-1])])) if len(order) else order
-                lists = np.searchsorted(doc[order][new], np.arange(len(t) + 1))
-                rare = pa.StructArray.from_arrays([pa.array(tok[order][new].view(np.int64)), pa.array(np.diff(np.append(new, len(order))).astype(np.int64))], ["word", "times"])
-                cols = [
-                    pa.array(np.diff(first).astype(np.int64)),
-                    pa.array(np.bincount(doc, known > 0, len(t)).astype(np.int64)),
-                    pa.array(base),
-                    pa.array(np.bincount(doc, log_p, len(t))),
-                    pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), rare),
-                    pa.array([hash_of(t.text(i)) for i in range(len(t))], pa.int64()),
-                ]
-                own = [b[k].slice(t.rows.start, len(t)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*own, *cols], [*keep, "n_tokens", "head_known", "head_base", "score", "rare", "text_hash"])
+        tok, first, _ = tokens(t)
+        asked = Asked(tok)
+        log_p, which, exact = m.log10(asked, q or m.levels(asked)), asked.which, m.exact(asked.words)
+        doc = np.repeat(np.arange(len(t)), np.diff(first))
+        known = exact[which]
+        base = np.bincount(doc, np.where(known > 0, np.log10(np.maximum(known, 1) + 0.5), 0.0), len(t))
+        tail = np.flatnonzero(known == 0)
+        # each text's rarer words, once each with how often
+        order = tail[np.lexsort((tok[tail], doc[tail]))]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (tok[order][1:] != tok[order][:-1])])) if len(order) else order
+        lists = np.searchsorted(doc[order][new], np.arange(len(t) + 1))
+        rare = pa.StructArray.from_arrays([pa.array(tok[order][new].view(np.int64)), pa.array(np.diff(np.append(new, len(order))).astype(np.int64))], ["word", "times"])
+        cols = [
+            pa.array(np.diff(first).astype(np.int64)),
+            pa.array(np.bincount(doc, known > 0, len(t)).astype(np.int64)),
+            pa.array(base),
+            pa.array(np.bincount(doc, log_p, len(t))),
+            pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), rare),
+            pa.array([hash_of(t.text(i)) for i in range(len(t))], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays([*own, *cols], [*keep, "n_tokens", "head_known", "head_base", "score", "rare", "text_hash"])
 
     def hash_of(text: bytes) -> int:
-        import xxhash
-
         return xxhash.xxh64_intdigest(text, 11) - (1 << 63)
 
-    scored = source.mapInArrow(run, with_columns(source, keep, "n_tokens long, head_known long, head_base double, score double, rare array<struct<word:bigint,times:bigint>>, text_hash long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in chunks(b["text"], lower=True):
+                yield row(t, [b[k].slice(t.rows.start, len(t)) for k in keep])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, pa.RecordBatch]]:
+        """Chunks with an id, which is the same in both reads of docs (or nothing is found, and homes() fails)."""
+        part, k = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for t in chunks(b["text"], lower=True):
+                yield xxhash.xxh64_intdigest(t.data, part << 32 | k) - (1 << 63), t, b
+                k += 1
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, t, _ in numbered(batches):
+            rows: dict[int, list[bytes]] = {}
+            for kind, (keys, salt) in enumerate(Asked(tokens(t)[0]).keys()):
+                for i, at in dealt(keys, salt, n):
+                    rows.setdefault(i, [b"", b"", b""])[kind] = short(keys[at], salt).astype("<u4").tobytes()
+            cols = [pa.array([r[j] for r in rows.values()], pa.binary()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(np.full(len(rows), chunk)), *cols], ["bucket", "chunk", "words", "before", "pairs"])
+
+    def answers(asking: pa.Table, segment: pa.Table) -> pa.Table:
+        out: list[list[bytes]] = [[] for _ in range(asking.num_rows)]
+        for name, bits, salt in (("words", "main", U64(0)), ("before", "side", CONTEXTS), ("pairs", "main", PAIRS)):
+            parts = [np.frombuffer(x.as_buffer(), "<u4") for x in asking[name]]
+            keys = np.concatenate(parts).astype(U64) if parts else np.empty(0, U64)
+            data = segment[bits][0].as_py() if segment.num_rows else None
+            q = np.zeros(len(keys), np.uint8) if data is None else Filter(1, len(data) * 8, np.frombuffer(data, np.uint8)).read(keys, salt, salt, np.zeros(len(keys), np.int64)).astype(np.uint8)
+            for o, x in zip(out, np.split(q, np.cumsum([len(x) for x in parts])[:-1])):
+                o.append(x.tobytes())
+        return pa.table({"chunk": asking["chunk"], "bucket": asking["bucket"], **{k: pa.array([o[j] for o in out], pa.binary()) for j, k in enumerate(("words", "before", "pairs"))}})
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, t, b in numbered(batches):
+            part = b.slice(t.rows.start, len(t))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), chunk)), pa.array(np.arange(len(t))), *part.columns], ["chunk", "place", *b.schema.names])
+
+    def finish(home: pa.Table, answer: pa.Table) -> pa.Table:
+        home = home.sort_by("place").combine_chunks()
+        (t,) = chunks(home["text"], lower=True, most=1 << 40, rows=1 << 40)
+        got = {b: i for i, b in enumerate(answer["bucket"].to_pylist())}
+        q = []
+        for (keys, salt), name in zip(Asked(tokens(t)[0]).keys(), ("words", "before", "pairs")):
+            q.append(np.zeros(len(keys), np.int64))
+            for i, at in dealt(keys, salt, n):
+                q[-1][at] = np.frombuffer(answer[name][got[i]].as_buffer(), np.uint8)
+        return pa.Table.from_batches([row(t, [home[k].combine_chunks() for k in keep], q)])
+
+    out_schema = with_columns(source, keep, "n_tokens long, head_known long, head_base double, score double, rare array<struct<word:bigint,times:bigint>>, text_hash long")
+    if model.segments is None:
+        scored = source.mapInArrow(run, out_schema)
+    else:
+        n = model.buckets
+        tasks = max(4, n // 3)
+        asking = source.mapInArrow(probes, "bucket int, chunk long, words binary, before binary, pairs binary").repartition(tasks, "bucket").groupBy("bucket")
+        answered = asking.cogroup(model.segments.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(answers, "chunk long, bucket int, words binary, before binary, pairs binary")
+        named = source.mapInArrow(homes, StructType([*StructType.fromDDL("chunk long, place long"), *source.schema]))
+        scored = named.repartition(tasks, "chunk").groupBy("chunk").cogroup(answered.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(finish, out_schema)
     # one row for the text itself (word is null), one for each rarer word; rows of one text and id come together again
     rows = scored.select(*keep, "n_tokens", "head_known", "head_base", "score", "text_hash", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("word"), F.lit(0).cast("long").alias("times"))), "rare")).alias("r"))
     rows = rows.select(*keep, "n_tokens", "head_known", "head_base", "score", "text_hash", "r.word", "r.times")

@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -222,6 +223,31 @@ def test_lm(docs, nothing):
     assert lm_bloom.score(nothing, model, rest).count() == 0
 
 
+def test_lm_bloom_keeps_what_was_seen_once(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for i in range(300)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = [t.split() for _, t in rows]
+    strange = [(1000 + i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for i in range(100)]  # seen words, other pairs
+    new = [(2000 + i, " ".join(f"x{rng.randrange(4000)}" for _ in range(60))) for i in range(100)]
+    docs = spark.createDataFrame([*rows, *strange, *new, rows[3], (None, None)], "doc_id long, text string").repartition(3)
+    scores = []
+    for bound in (1 << 24, 1 << 10):
+        model, rest = lm_bloom.learn(train, filter_bytes=bound)
+        assert (model.filter is None) == (bound == 1 << 10)
+        out = lm_bloom.score(docs, model, rest)
+        assert out.count() == len(rows) + 202
+        scores.append(rows_of(out.withColumn("s", F.round("score", 6)), "doc_id", "n_tokens", "n_known", "s"))
+        by = {r["doc_id"]: r["score"] for r in out.collect()}
+        assert min(by[i] for i, _ in rows) > max(by[i] for i, _ in strange) and min(by[i] for i, _ in strange) > max(by[i] for i, _ in new)
+    assert scores[0] == scores[1]  # broadcast or asked by bucket
+    model, _ = lm_bloom.learn(train)
+    asked = lm_bloom.Asked(lm_bloom.tokens(next(lm_bloom.chunks(pa.array([t for _, t in rows]), lower=True)))[0])
+    single, pair = collections.Counter(w for t in words for w in [*t, None]), collections.Counter(p for t in words for p in zip([None, *t], [*t, None]))
+    q = model.levels(asked)
+    assert len(q[0]) == len(single) and (q[0] > 0).all() and len(q[2]) == len(pair) and (q[2] > 0).all() and (q[2] == 1).mean() > 0.9
+
+
 def test_filter_reads_what_was_put_in():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << 63, 3000).astype(np.uint64), rng.integers(1, 1000, 3000)
