@@ -223,6 +223,51 @@ def test_lm(docs, nothing):
     assert lm_bloom.score(nothing, model, rest).count() == 0
 
 
+def near_pairs():
+    """Two texts each, word lists with a similarity of 0.7 to 0.9, chance words shared by all, a family of near copies."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(240):
+        w = [f"v{rng.randrange(9000)}" for _ in range(rng.randrange(120, 260))]
+        if i % 3 == 0:
+            w[:12] = [f"h{k}" for k in range(12)]  # a beginning that many have
+        other = list(w)
+        for k in range(rng.randrange(1, 9)):
+            other[rng.randrange(len(w))] = f"n{i}x{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    family = [f"f{rng.randrange(9000)}" for _ in range(200)]
+    for i in range(60):
+        w = list(family)
+        w[rng.randrange(200)] = f"g{i}"
+        rows.append((1000 + i, " ".join(w)))
+    return rows
+
+
+def kept_by_brute_force(rows):
+    sets = {d: frozenset(zip(*(t.split()[i:] for i in range(5)))) for d, t in rows}
+    root = {d: d for d in sets}
+    index = []
+    for a in sets:
+        for b in sets:
+            if a < b:
+                same = len(sets[a] & sets[b])
+                s = same / (len(sets[a]) + len(sets[b]) - same)
+                if s >= 0.7:
+                    index.append(s)
+                if s >= 0.8:
+                    low, high = sorted((root[a], root[b]))
+                    root = {d: low if r == high else r for d, r in root.items()}
+    return sorted(set(root.values())), index
+
+
+def test_near_dedup_is_exact(spark):
+    rows = near_pairs()
+    want, index = kept_by_brute_force(rows)
+    assert sum(0.7 <= s < 0.8 for s in index) > 30 and sum(0.8 <= s < 0.9 for s in index) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["keep_id"] for r in simhash.keepers(docs).collect()) == want
+
+
 def test_lm_bloom_keeps_what_was_seen_once(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for i in range(300)]
