@@ -38,7 +38,7 @@ def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred = both(spark, sf_dir)
-    return rounded(evaluate.bootstrap(gold, pred, rounds=100))
+    return rounded(evaluate.bootstrap(gold, pred))
 
 
 def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:

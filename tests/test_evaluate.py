@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanspark.operators import evaluate, frames, reconcile
+from gleanspark.plans import queries
 from gleanspark.schema import HEADLINE, NR, annotation_columns, annotation_schema
 
 GOLD = {
@@ -67,6 +68,11 @@ def test_quote_check_and_bootstrap(long):
     assert row["rounds"] == 50 and row["low"] <= row["mean"] <= row["high"]
 
 
+def test_bootstrap_query_draws_the_default_rounds(long, monkeypatch):
+    monkeypatch.setattr(queries, "both", lambda spark, sf_dir: (long["gold"], long["bad"]))
+    assert queries.bootstrap_ci(None, "").first()["rounds"] == 1000
+
+
 def test_frames(spark, tmp_path):
     with pytest.raises(ValueError):
         frames.validate(spark.createDataFrame([("r1",)], "record_id string"))
