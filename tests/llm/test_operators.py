@@ -268,6 +268,18 @@ def test_near_dedup_is_exact(spark):
     assert sorted(r["keep_id"] for r in simhash.keepers(docs).collect()) == want
 
 
+def test_near_dedup_does_not_depend_on_batches(spark):
+    rows = near_pairs()[-120:]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert sorted(r["keep_id"] for r in simhash.keepers(docs).collect()) == kept_by_brute_force(rows)[0]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_lm_bloom_keeps_what_was_seen_once(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for i in range(300)]
