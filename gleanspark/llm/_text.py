@@ -7,6 +7,7 @@ words at once.  A text is never cut; a chunk holds whole texts only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,6 +162,24 @@ def small_batches(spark) -> None:
             continue
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what a worker freed meanwhile goes back to the system every few batches and at the end, since workers
+    live on through later stages."""
+    for k, b in enumerate(batches):
+        yield b
+        if k % 8 == 7:
+            give_back()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def with_columns(df: DataFrame, keep: list[str], ddl: str) -> StructType:
     """The schema of the kept columns and those of ddl."""
     return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(ddl).fields])

@@ -27,13 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shards import shared_checkpoints
-from ._text import LOWER, U64, WHITESPACE, Texts, chunks, small_batches, windows, with_columns
-from .components import components
-from .decontaminate import few
+from ._text import LOWER, U64, chunks, small_batches, trimmed, with_columns
+from ..operators.components import components
 
 SEED = 42
 SEGMENT = 4
@@ -85,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[str] = ("doc_id",
     source = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], most=1 << 20):
                 fp = majorities(counts(*shingle_hashes([t.text(i) for i in range(len(t))], shingle)))
                 own = [b[k].slice(t.rows.start, len(t)) for k in keep]
@@ -188,127 +187,3 @@ def groups(docs: DataFrame, shingle: int = 3, keep: list[str] = ("doc_id",)) ->
     named = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(best, "root").select("fp", "component_id"), "fp").select(*keep, "fp", "component_id")
-
-
-#: A shingle that so many of every SAMPLE-th set have is hot, and comes last in the order of shingles.
-SAMPLE, HOT, MOST_HOT = 16, 8, 200_000
-BASE = 0x9E3779B97F4A7C15
-
-
-def shingle_sets(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """keep, hashes (the set of a text's shingles: distinct 64-bit hashes, ascending) and node, which names the set."""
-    small_batches(docs.sparkSession)
-    source = docs.select(*dict.fromkeys([*keep, "text"]))
-
-    def sets(t: Texts) -> Iterator[bytes]:
-        w = t.words(WHITESPACE)
-        h, at = windows(w.hashes(SEED), w.first, shingle, BASE)
-        cuts = np.searchsorted(at, w.first)
-        for i, n in enumerate(w.counts()):
-            if n >= shingle:
-                yield np.unique(h[cuts[i] : cuts[i + 1]]).astype("<u8").tobytes()
-            else:  # the whole text is its shingle
-                yield np.array([xxhash.xxh64_intdigest(b" ".join(t.text(i).split()), SEED)] if n else [], "<u8").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in chunks(b["text"], lower=True, most=1 << 20):
-                found = list(sets(t))
-                node = np.array([xxhash.xxh64_intdigest(x) for x in found], U64)
-                own = [b[k].slice(t.rows.start, len(t)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(node.view(np.int64)), pa.array(found, pa.binary())], [*keep, "node", "hashes"])
-
-    return source.mapInArrow(run, with_columns(source, keep, "node long, hashes binary"))
-
-
-def hot_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles of many sets, by a sample. Any list gives the same pairs in the end; a good one keeps candidates few."""
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b["hashes"]:
-                yield batch(key=np.frombuffer(x.as_buffer(), "<u8"))
-
-    some = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).dropDuplicates(["node"]).select("hashes").mapInArrow(shingles, "key long")
-    found = some.groupBy("key").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key").collect()
-    return np.sort(np.array([r["key"] for r in found], np.int64).view(U64))
-
-
-def prefixes(sets: DataFrame, similarity: float, hot: np.ndarray) -> DataFrame:
-    """key, node, size: of each set its first shingles in one order of all shingles (hot ones last, else by hash), as many as
-    make sure that two sets with the similarity share one."""
-    sent = sets.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, sizes = [], []
-            for x in b["hashes"]:
-                h = np.frombuffer(x.as_buffer(), "<u8")
-                if len(sent.value):
-                    late = sent.value[np.minimum(np.searchsorted(sent.value, h), len(sent.value) - 1)] == h
-                    h = np.concatenate([h[~late], h[late]])
-                keys.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
-                sizes.append(len(h))
-            times = [len(k) for k in keys]
-            if sum(times):
-                yield batch(key=np.concatenate(keys), node=np.repeat(b["node"].to_numpy(), times), size=np.repeat(np.array(sizes, np.int64), times))
-
-    return sets.select("node", "hashes").mapInArrow(run, "key long, node long, size long").distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs a, b of nodes those whose sets have a Jaccard index of at least the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b["of_a"], b["of_b"]):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.sort(np.concatenate([x, y]))
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(same >= similarity * (len(both) - same) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    pairs = pairs.checkpoint()
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().checkpoint()
-    known = sets.select("node", "hashes").join(few(asked, asked.count()), "node", "left_semi").dropDuplicates(["node"]).checkpoint()
-    sides = [known.select(F.col("node").alias(k), F.col("hashes").alias(f"of_{k}")) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").checkpoint()
-
-
-def similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: node, hashes.  Edges a, b, each between sets with the similarity, that connect all sets which such pairs connect.
-
-    Sets that share a key of their prefixes are candidates.  First each is compared with the next in its key's order of size,
-    which connects families of near copies by few pairs; then all pairs of a key that are not connected yet.  Both are
-    joins over whole keys, so nothing depends on where a batch or a partition ends, and hot keys are split like any join's."""
-    rows = prefixes(sets, similarity, hot_shingles(sets))
-    by = Window.partitionBy("key")
-    ahead = [F.lead(c).over(by.orderBy("size", "node")).alias(f"next_{c}") for c in ("node", "size")]
-    close = F.col("next_size") * similarity <= F.col("size") + 1e-9
-    live = rows.select("*", F.count("*").over(by).alias("n"), *ahead).where("n > 1").select("key", "node", "size", F.when(close, F.col("next_node")).alias("next_node")).checkpoint()
-    chain = live.where(F.col("next_node").isNotNull()).select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).distinct()
-    edges = verified(chain, sets, similarity)
-    roots = components(edges)
-    told = live.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")).checkpoint()
-    # keys whose sets are all connected are done
-    open_ = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    told = told.join(open_, "key", "left_semi").checkpoint()
-    x, y = told.alias("x"), told.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (F.least("x.size", "y.size") + 1e-9 >= F.greatest("x.size", "y.size") * similarity))
-    rest = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return edges.union(verified(rest, sets, similarity))
-
-
-def keepers(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """keep_id and keep_key (xxhash64 of the text) of the document that stays of each group of near-duplicates: the one with the
-    smallest doc_id.  Similarity is the Jaccard index of the sets of word shingles, compared exactly; a group is what pairs of
-    at least that similarity connect."""
-    shared_checkpoints(docs.sparkSession)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    sets = shingle_sets(keyed, shingle, ["doc_id", "text_key"])  # computed anew where it is read: as files it outweighs the texts
-    one = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
-    first = sets.groupBy("node").agg(F.min(one).alias("first")).checkpoint()
-    roots = components(similar(sets, similarity))
-    named = first.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    return named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"))
