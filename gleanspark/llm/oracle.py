@@ -3,6 +3,7 @@ versions of them."""
 
 from __future__ import annotations
 
+from .mixing import GOLDEN, LEAST, MOST_SLOTS, SLOTS
 from .url_filter import RULES, SECOND_LEVEL
 
 WS = r"[\x20\x09-\x0D]+"
@@ -76,4 +77,28 @@ SELECT page_id, host, path, rule,
        coalesce(says, CASE WHEN coalesce(mean + 1.645e0 * sqrt(mean * (1 - mean) / (total + 1)), prior + 1.645e0 * sqrt(prior * (1 - prior) / (w + 1))) < 0.5e0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM o"""
 
-ORACLE_SQL = {"op4_substring_dedup": op4_substring_dedup, "op5_decontaminate": op5_decontaminate, "op8_url_filter": op8_url_filter}
+op7_mixing = f"""
+WITH d AS (SELECT doc_id, source, len({words("coalesce(text, '')", WS)}) size, md5(concat_ws(':', CAST(doc_id AS VARCHAR), coalesce(text, ''))) hash FROM documents),
+     s0 AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM d GROUP BY source),
+     s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 source_no FROM s0),
+     s2 AS (SELECT *, ([3e0, 1e0, 2e0])[source_no % 3 + 1] weight, source_size * 2e0 cap FROM s1),
+     s3 AS (SELECT *, coalesce(sum(cap) OVER o, 0) cap_before, coalesce(sum(weight) OVER o, 0) weight_before, sum(source_size) OVER () * 1.5e0 whole, sum(weight) OVER () weights
+            FROM s2 WINDOW o AS (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     s4 AS (SELECT *, max((whole - cap_before) / (weights - weight_before)) OVER () level FROM s3),
+     s AS (SELECT source, source_no, source_size, least(cap, weight * level) target FROM s4),
+     total AS (SELECT sum(target) t, min(target) FILTER (target > 0) smallest FROM s),
+     slot AS (SELECT t, greatest(1, CAST(least(floor(t / {SLOTS}), floor(smallest / {LEAST})) AS BIGINT), CAST(ceil(t / {MOST_SLOTS}) AS BIGINT)) words FROM total),
+     cut AS (SELECT source_no, sum(target) OVER (ORDER BY source_no) / t high, lead(source_no) OVER (ORDER BY source_no) IS NULL AS last FROM s, slot WHERE target > 0),
+     ivl AS (SELECT source_no, coalesce(lag(high) OVER (ORDER BY source_no), 0) low, CASE WHEN last THEN 1e0 ELSE high END high FROM cut),
+     dealt AS (SELECT i slot, source_no, row_number() OVER (PARTITION BY source_no ORDER BY i) - 1 AS rank
+               FROM (SELECT unnest(generate_series(0, CAST(ceil(t / words) AS BIGINT) - 1)) i FROM slot) JOIN ivl ON low <= (i * {GOLDEN!r}e0) % 1e0 AND (i * {GOLDEN!r}e0) % 1e0 < high),
+     p AS (SELECT doc_id, d.source, s.source_no, size, source_size, target, hash,
+                  coalesce(sum(size) OVER (PARTITION BY s.source_no ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) begins FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+     lap AS (SELECT doc_id, hash, source_no, begins + turn * source_size a, least(begins + turn * source_size + size, floor(target)) z FROM p, (VALUES (0), (1)) v(turn) WHERE size > 0),
+     pc AS (SELECT doc_id, hash, source_no, CAST(a AS BIGINT) a, CAST(z AS BIGINT) z, words, unnest(generate_series(CAST(floor(a / words) AS BIGINT), CAST(floor((z - 1) / words) AS BIGINT))) AS rank FROM lap, slot WHERE a < z),
+     got AS (SELECT hash, pc.source_no, sum(least(z, (pc.rank + 1) * words) - greatest(a, pc.rank * words)) taken, min(slot) first_slot, count(*) n_slots
+             FROM pc JOIN dealt ON pc.source_no = dealt.source_no AND pc.rank = dealt.rank GROUP BY hash, pc.source_no)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(first_slot, -1) AS first_slot, coalesce(n_slots, 0) AS n_slots
+FROM p LEFT JOIN got ON p.hash = got.hash AND p.source_no = got.source_no"""
+
+ORACLE_SQL = {"op7_mixing": op7_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_decontaminate": op5_decontaminate, "op8_url_filter": op8_url_filter}
