@@ -14,9 +14,10 @@ buckets grow in number with the data, less than two wrong matches are expected
 even over 100 TB.
 
 Edge cases: a null or empty text has no words; a text shorter than a window
-loses nothing; rows of the same doc_id don't make each other repeat; a null
-doc_id comes after all others; an empty table gives an empty result.  Other
-columns are passed on where they are asked for.
+loses nothing; rows of the same doc_id don't make each other repeat; null
+doc_ids come after all others and don't make each other repeat either; a very
+long text makes a chunk larger, in arrays of some 60 bytes a word; an empty table
+gives an empty result.  Other columns are passed on where they are asked for.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def dedup(docs: DataFrame, size: int = 13, keep: list[str] = ("doc_id",), verbat
     was), spans (first and last word of each removed interval, from 0) of every document."""
     small_batches(docs.sparkSession)
     names = list(dict.fromkeys([*keep, "doc_id", "text"]))
-    dealt, n, total = by_id(docs.select(*names))
+    dealt, n, total, null_from = by_id(docs.select(*names))
     buckets = max(4, min(1 << 30, total // 6 // BUCKET))
 
     def send(table: pa.Table) -> pa.Table:
@@ -80,8 +81,11 @@ def dedup(docs: DataFrame, size: int = 13, keep: list[str] = ("doc_id",), verbat
         hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in table["hashes"]]
         every = np.concatenate(hashes)
         order = np.argsort(every, kind="stable")
+        new = np.ones(len(every), bool)
+        new[1:] = every[order[1:]] != every[order[:-1]]
+        known = np.repeat(np.array(sent) < null_from, [len(x) for x in hashes])
         again = np.zeros(len(every), bool)
-        again[order[1:]] = every[order[1:]] == every[order[:-1]]
+        again[order] = ~new & known[order[np.maximum.accumulate(np.where(new, np.arange(len(every)), 0))]]  # null ids repeat only others
         ends = np.cumsum([len(x) for x in hashes])
         rows = [(c, np.packbits(bits).tobytes()) for c, x, e in zip(sent, hashes, ends) if (bits := again[e - len(x) : e]).any()]
         return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "bits": pa.array([x for _, x in rows], pa.binary())})
