@@ -4,12 +4,16 @@ Each language has a codeword of +1 and -1 bits.  One logistic classifier for
 each bit, over hashed character n-grams, predicts that bit; a text gets the
 language whose codeword has the least loss, bits weighted by how reliably they
 were predicted in training.  A text whose two nearest codewords are about as
-near is flagged as ambiguous.
+near is flagged as ambiguous; one whose predicted bits lie outside the code's
+radius (as far from the nearest codeword as half the distance of the two nearest
+languages, or farther) is flagged as far: no language explains it.
 
 Edge cases: a null text, or one without a letter of any script, is ``und``
 with score 0; an empty table gives an empty result; repeated rows each give
-their row; with one learned language every text with a letter gets it, with
-none all are ``und``.  Extra columns are ignored.
+their row; of languages with equal loss the first by name wins; with one learned
+language every text with a letter gets it, with none all are ``und`` (and none
+is far).  A very long text is a chunk of its own, in arrays of about 20 bytes a
+byte of text.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Texts, chunks, per_text, small_batches, with_columns
+from ._text import Texts, chunks, per_text, small_batches, trimmed, with_columns
 
 UNKNOWN = "und"
 DIM_BITS = 12
@@ -124,7 +128,7 @@ def learn(labelled: DataFrame, per_language: int = 1500, bits: int = 15) -> Mode
     small_batches(labelled.sparkSession)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], rows=ROWS):
                 x, ok = features(t), has_letter(t)
                 rows = [(r := np.flatnonzero(v[:DIM])).astype("<u2").tobytes() + v[r].astype("<f4").tobytes() for v in x]
@@ -141,35 +145,38 @@ def learn(labelled: DataFrame, per_language: int = 1500, bits: int = 15) -> Mode
     return fit(x, y, languages, bits)
 
 
-def decode(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest codeword of each row, its share of the likelihood, and the gap to the next one."""
+def decode(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest codeword of each row, its share of the likelihood, the gap to the next one, and whether the bits are far from it."""
     f = x @ m.weights
     loss = np.logaddexp(0, -f[:, None, :] * m.code[None, :, :]) @ (m.trust * SHARPNESS)
     like = np.exp(loss.min(1, keepdims=True) - loss)
     like /= like.sum(1, keepdims=True)
     best = like.argmax(1)
     ranked = np.sort(like, 1)
-    return best, ranked[:, -1], ranked[:, -1] - (ranked[:, -2] if like.shape[1] > 1 else 0)
+    wrong = (f * m.code[best] <= 0) @ m.trust
+    return best, ranked[:, -1], ranked[:, -1] - (ranked[:, -2] if like.shape[1] > 1 else 0), wrong >= radius(m)
+
+
+def radius(m: Model) -> float:
+    """Half the least distance of two codewords, bits weighted by trust."""
+    n = len(m.languages)
+    return min(((m.code[i] != m.code[j]) @ m.trust for i in range(n) for j in range(i)), default=2.0) / 2
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), gap: float = 0.2) -> DataFrame:
-    """keep, lang_pred, score (0 to 1) and ambiguous (the gap between the two nearest codewords is below gap)."""
+    """keep, lang_pred, score (0 to 1), ambiguous (the gap between the two nearest codewords is below gap) and far."""
     small_batches(docs.sparkSession)
     source = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], rows=ROWS):
-                known = has_letter(t) if model.languages else np.zeros(len(t), bool)
-                if model.languages:
-                    best, score, apart = decode(model, features(t))
-                else:
-                    best, score, apart = np.zeros(len(t), int), np.zeros(len(t)), np.zeros(len(t))
+                n = len(t)
+                known = has_letter(t) if model.languages else np.zeros(n, bool)
+                best, score, apart, far = decode(model, features(t)) if model.languages else (np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n, bool))
                 langs = pa.array([model.languages[i] if ok else UNKNOWN for i, ok in zip(best, known)], pa.string())
-                own = [b[k].slice(t.rows.start, len(t)) for k in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, langs, pa.array(np.where(known, np.clip(score, 0, 1), 0.0).astype(float)), pa.array(~known | (apart < gap))],
-                    [*keep, "lang_pred", "score", "ambiguous"],
-                )
+                own = [b[k].slice(t.rows.start, n) for k in keep]
+                cols = [langs, pa.array(np.where(known, np.clip(score, 0, 1), 0.0).astype(float)), pa.array(~known | (apart < gap)), pa.array(known & far)]
+                yield pa.RecordBatch.from_arrays([*own, *cols], [*keep, "lang_pred", "score", "ambiguous", "far"])
 
-    return source.mapInArrow(predict, with_columns(source, keep, "lang_pred string, score double, ambiguous boolean"))
+    return source.mapInArrow(predict, with_columns(source, keep, "lang_pred string, score double, ambiguous boolean, far boolean"))

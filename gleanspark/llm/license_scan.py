@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._text import NOT_ALNUM, chunks, small_batches, with_columns
+from ._text import NOT_ALNUM, chunks, small_batches, trimmed, with_columns
 
 # The phrases and labels that are counted exactly.
 BASE = [
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, keep: list[str] = ("doc_id",), scanner: Scanner | None
     span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("words", pa.string()), ("likeness", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], lower=True):
                 n = len(t)
                 n_words = t.words(NOT_ALNUM).counts()

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._shards import shared_checkpoints
-from ._text import U64, WHITESPACE, Texts, Words, chunks, mix, small_batches, with_columns
+from ._text import U64, WHITESPACE, Texts, Words, chunks, mix, small_batches, trimmed, with_columns
 
 END = U64(0x5E7D0FE4D)
 #: The counts from which words may be head words.
@@ -246,7 +246,7 @@ def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 <<
             cols = [pa.array(list(rows), pa.int32()), *(pa.array([r[j] for r in rows.values()], pa.binary()) for j in range(4))]
             return pa.RecordBatch.from_arrays(cols, ["bucket", "words", "word_n", "pairs", "pair_n"])
 
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], lower=True):
                 tok, *_ = tokens(t)
                 held.append(tok)
@@ -280,7 +280,7 @@ def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 <<
     head_from = CUTS[at_head]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for k, c in zip(b["before"], b["kept"]):
                 k, c = np.frombuffer(k.as_buffer(), "<u4").astype(U64), np.frombuffer(c.as_buffer(), "<f4")
                 rows = [(i, k[at].astype("<u4").tobytes(), c[at].tobytes()) for i, at in dealt(k, CONTEXTS, n)]
@@ -298,13 +298,13 @@ def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 <<
         return Filter(n, np.array([len(x) * 8 for x in parts]), np.frombuffer(b"".join(parts), np.uint8))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for k, c in zip(b["words"], b["word_n"]):
                 k, c = array(k), array(c)
                 yield pa.RecordBatch.from_arrays([pa.array([binary(k[c >= head_from])], pa.binary()), pa.array([binary(c[c >= head_from])], pa.binary())], ["k", "c"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for k, c in zip(b["words"], b["word_n"]):
                 k, c = array(k), array(c)
                 yield pa.RecordBatch.from_arrays([pa.array(k[c < head_from].view(np.int64)), pa.array(c[c < head_from].astype(np.int64))], ["word", "c"])
@@ -363,14 +363,14 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
         return xxhash.xxh64_intdigest(text, 11) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], lower=True):
                 yield row(t, [b[k].slice(t.rows.start, len(t)) for k in keep])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, pa.RecordBatch]]:
         """Chunks with an id, which is the same in both reads of docs (or nothing is found, and homes() fails)."""
         part, k = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], lower=True):
                 yield xxhash.xxh64_intdigest(t.data, part << 32 | k) - (1 << 63), t, b
                 k += 1

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import chunks, small_batches, with_columns
+from ._text import chunks, small_batches, trimmed, with_columns
 
 # Insults that count without any label.
 SEEDS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "bastard", "dumbass", "asshole", "bitch"]
@@ -130,7 +130,7 @@ def learn(labelled: DataFrame, rows: int = 20_000, entries: int = 2_000, at_leas
     seeds = {f" {fold_entry(w)} ": 2.0 for w in SEEDS}
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], rows=256):
                 toxic = b["toxic"].slice(t.rows.start, len(t)).to_numpy(zero_copy_only=False)
                 found = [sorted(entries_of(fold(t.text(i)))) for i in range(len(t))]
@@ -152,7 +152,7 @@ def learn(labelled: DataFrame, rows: int = 20_000, entries: int = 2_000, at_leas
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"], rows=256):
                 x = np.array([signals(matcher.hits(f := fold(t.text(i))), f.count(" ") - 1) for i in range(len(t))])
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), b["toxic"].slice(t.rows.start, len(t))], ["x0", "x1", "x2", "toxic"])
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
-        for b in batches:
+        for b in trimmed(batches):
             for t in chunks(b["text"]):
                 total, found = [], []
                 for i in range(len(t)):
