@@ -8,32 +8,49 @@ at most.  All stages but the last return the columns they were given.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import decontaminate, language_id, mixing, simhash, substring_dedup
-from gleanspark.llm._shards import shared_checkpoints
+from gleanspark.llm import decontaminate, language_id, mixing, near_copies, substring_dedup
+from gleanspark.session import shared_folder
 
 #: Words of a window in substring dedup.
 REPEAT = 50
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a text, have no language and go."""
+    """Documents go that are in no language: without a text or a letter, or with bits outside the code's radius and no language
+    of half the likelihood.  The languages are learnt from the documents' own; if none has one, documents with a letter stay."""
     model = language_id.learn(docs)
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    told = language_id.identify(packed, model, ["row"])
-    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    rest = [c for c in docs.columns if c != "text"]
+    told = language_id.identify(docs.select(F.struct(*rest).alias("rest"), "text"), model, ["rest", "text"])
+    told = told.where((F.col("lang_pred") != language_id.UNKNOWN) & ~(F.col("far") & (F.col("score") < 0.5)))
+    return told.select(*["text" if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
-    keepers = simhash.keepers(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays, null ids
+    last; of rows with that id and text the first by all columns.  Empty texts are copies of one another."""
+    gone = near_copies.leaving(docs).checkpoint()
+    gone = decontaminate.few(gone, gone.count())
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
-    kept = row.join(keepers, F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key")))
-    return kept.dropDuplicates(["own_id", "own_key"]).select("row.*")
+    left = row.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti")
+    return once(left).select("row.*")
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """rows: row, own_id, own_key.  Of rows with equal id and key the first, in the order of their JSON.  Only rows that do repeat are
+    brought together, and combine before that."""
+    again = rows.groupBy("own_id", "own_key").count().where("count > 1").select(F.col("own_id").alias("again_id"), F.col("own_key").alias("again_key")).checkpoint()
+    n = again.count()
+    if not n:
+        return rows
+    same = F.col("own_id").eqNullSafe(F.col("again_id")) & (F.col("own_key") == F.col("again_key"))
+    again = decontaminate.few(again, n)
+    first = rows.join(again, same, "left_semi").groupBy("own_id", "own_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.join(again, same, "left_anti").unionByName(first)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +73,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix: text, source, size (words), target (words of the source) and taken (words of the document,
-    repeats counted).  Equal rows become one with their words together."""
-    taken = mixing.mix(docs).groupBy("doc_id", "text_key").agg(F.max("target").alias("target"), F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    taken = taken.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "size", "target", "taken")
-    own = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("own_key"))
-    joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("own_key") == F.col("mix_key")))
-    return joined.dropDuplicates(["doc_id", "own_key"]).select("doc_id", "text", "lang", "source", "size", "target", "taken")
+    repeats counted).  Rows of equal id, text and source become one, the first by all columns, with their words together; an
+    empty text takes nothing and is not in the mix."""
+    taken = mixing.mix(docs).groupBy("doc_id", "text_key", "source").agg(F.max("target").alias("target"), F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    taken = taken.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("source").alias("mix_source"), "size", "target", "taken")
+    row = docs.select(F.struct("doc_id", "text", "lang", "source").alias("row"), F.struct("doc_id", F.col("source").cast("string").alias("source")).alias("own_id"), F.xxhash64("text").alias("own_key"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("mix_id")) & (F.col("own_key") == F.col("mix_key")) & F.col("own_id.source").eqNullSafe(F.col("mix_source"))
+    return once(row).join(taken, same).select("row.*", "size", "target", "taken")
 
 
 STAGES = [
@@ -76,8 +94,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
