@@ -132,6 +132,13 @@ def hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in found], np.int64).view(U64))
 
 
+def among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of h the ascending array holds."""
+    if not len(ordered):
+        return np.zeros(len(h), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
+
+
 def prefixes(docs: DataFrame, shingle: int, similarity: float, hot: np.ndarray) -> DataFrame:
     """key, salt, meta (the set's size << 32 | the shingle's place in the order), node of the shingles in sets' prefixes."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
@@ -140,7 +147,7 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, hot: np.ndarray)
         for found in once(batches, shingle):
             key, salt, meta, nodes = ([np.empty(0, U64)] for _ in range(4))
             for node, h in found:
-                late = np.isin(h, sent.value) if len(sent.value) else np.zeros(len(h), bool)
+                late = among(h, sent.value)
                 n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
                 first = np.concatenate([h[~late], h[late]])[:n]
                 is_hot = np.arange(len(first)) >= len(h) - int(late.sum())
