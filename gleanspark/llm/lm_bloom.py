@@ -9,19 +9,20 @@ filter grows with the corpus, ten bits for each insertion, so whatever was seen
 in training is in it.  Each bucket owns one segment of the filter and fills it
 alone, so building it moves no key again.  Up to ``filter_bytes`` the filter is
 broadcast; beyond, each chunk of texts sends its distinct keys to the segments
-and gets a byte for each back, with the same scores.
+and gets a byte for each back, with the same scores, and its words' exact counts.
 
 The probability of a word after a word is the discounted pair count by the
 first word's count, plus the weight that discounting left times the word's
 add-half probability; all counts come from probes.
 
-The exact base score uses exact counts: the ``head_words`` most frequent words
-are broadcast (a bounded table), the rarer words of each text are joined with
-their counts.
+The exact base score uses exact counts: while the filter is broadcast, the
+``head_words`` most frequent words are too (a bounded table) and the rarer words of
+each text are joined with their counts.  Beyond, the buckets that hold the segments answer them.
 
 Edge cases: a null or empty text is one end token; without training texts all
 counts are 0; repeated rows each give their row; a null doc_id is never held
-out; an empty table gives an empty result.  Extra columns are ignored.
+out; a very long text is a chunk of its own, in arrays of some 100 bytes a word;
+an empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ class Asked:
 
 
 class Model:
-    """filter and contexts are None where they exceed the broadcast bound; then segments has them: bucket, main, side."""
+    """filter and contexts are None where they exceed the broadcast bound; then segments has them: bucket, main, words, word_n, side."""
 
     def __init__(self, tokens: int, types: int, filter_: Filter | None, contexts: Filter | None, head: tuple[np.ndarray, np.ndarray], buckets: int, segments: DataFrame | None = None):
         self.tokens, self.types, self.filter, self.contexts, self.head, self.buckets, self.segments = tokens, types, filter_, contexts, head, buckets, segments
@@ -315,7 +316,7 @@ def learn(texts: DataFrame, filter_bytes: int = 16 << 20, head_words: int = 1 <<
     if main_bytes + int(sides.agg(F.sum(F.octet_length("side"))).first()[0] or 0) <= filter_bytes:
         main, side = (gathered(x.collect()) for x in (counted.select("bucket", "main"), sides.select("bucket", "side")))
     else:
-        segments = counted.select("bucket", "main").join(sides, "bucket", "full")
+        segments = counted.select("bucket", "main", "words", "word_n").join(sides, "bucket", "full")
     # bounded: head_words words
     head = counted.select("words", "word_n").mapInArrow(frequent, "k binary, c binary").collect()
     keys = np.concatenate([array(r["k"]) for r in head]) if head else np.empty(0, U64)
@@ -335,15 +336,16 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
     sent = spark.sparkContext.broadcast(model)
     source = docs.select(*keep, "text")
 
-    def row(t: Texts, own: list[pa.Array], q: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    def row(t: Texts, own: list[pa.Array], q: list[np.ndarray] | None = None, exact: np.ndarray | None = None) -> pa.RecordBatch:
+        """exact: counts of the asked words; without them only the head's are known, and the others are listed as rare."""
         m: Model = sent.value
         tok, first, _ = tokens(t)
         asked = Asked(tok)
-        log_p, which, exact = m.log10(asked, q or m.levels(asked)), asked.which, m.exact(asked.words)
+        log_p, which, whole = m.log10(asked, q or m.levels(asked)), asked.which, exact is not None
         doc = np.repeat(np.arange(len(t)), np.diff(first))
-        known = exact[which]
-        base = np.bincount(doc, np.where(known > 0, np.log10(np.maximum(known, 1) + 0.5), 0.0), len(t))
-        tail = np.flatnonzero(known == 0)
+        known = (exact if whole else m.exact(asked.words))[which]
+        base = np.bincount(doc, np.where(whole | (known > 0), np.log10(known + 0.5), 0.0), len(t))
+        tail = np.flatnonzero(known == 0)[: 0 if whole else None]
         # each text's rarer words, once each with how often
         order = tail[np.lexsort((tok[tail], doc[tail]))]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (tok[order][1:] != tok[order][:-1])])) if len(order) else order
@@ -379,21 +381,31 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
         for chunk, t, _ in numbered(batches):
             rows: dict[int, list[bytes]] = {}
             for kind, (keys, salt) in enumerate(Asked(tokens(t)[0]).keys()):
-                for i, at in dealt(keys, salt, n):
-                    rows.setdefault(i, [b"", b"", b""])[kind] = short(keys[at], salt).astype("<u4").tobytes()
+                for i, at in dealt(keys, salt, n):  # words whole, for their exact counts
+                    rows.setdefault(i, [b"", b"", b""])[kind] = short(keys[at], salt).astype("<u4").tobytes() if kind else binary(keys[at])
             cols = [pa.array([r[j] for r in rows.values()], pa.binary()) for j in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(np.full(len(rows), chunk)), *cols], ["bucket", "chunk", "words", "before", "pairs"])
 
     def answers(asking: pa.Table, segment: pa.Table) -> pa.Table:
         out: list[list[bytes]] = [[] for _ in range(asking.num_rows)]
+
+        def told(found: np.ndarray, parts: list[np.ndarray]) -> None:
+            for o, x in zip(out, np.split(found, np.cumsum([len(x) for x in parts])[:-1])):
+                o.append(x.tobytes())
+
         for name, bits, salt in (("words", "main", U64(0)), ("before", "side", CONTEXTS), ("pairs", "main", PAIRS)):
-            parts = [np.frombuffer(x.as_buffer(), "<u4") for x in asking[name]]
+            parts = [np.frombuffer(x.as_buffer(), "<u8" if name == "words" else "<u4") for x in asking[name]]
             keys = np.concatenate(parts).astype(U64) if parts else np.empty(0, U64)
             data = segment[bits][0].as_py() if segment.num_rows else None
+            if name == "words":
+                own, n_own = (array(segment[c][0]) if data is not None else np.zeros(1, U64) for c in ("words", "word_n"))
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                counts = np.where(own[at] == keys, n_own[at], 0).astype("<u8")
+                told(counts if data is not None else counts * U64(0), parts)
+                keys = short(keys, salt)
             q = np.zeros(len(keys), np.uint8) if data is None else Filter(1, len(data) * 8, np.frombuffer(data, np.uint8)).read(keys, salt, salt, np.zeros(len(keys), np.int64)).astype(np.uint8)
-            for o, x in zip(out, np.split(q, np.cumsum([len(x) for x in parts])[:-1])):
-                o.append(x.tobytes())
-        return pa.table({"chunk": asking["chunk"], "bucket": asking["bucket"], **{k: pa.array([o[j] for o in out], pa.binary()) for j, k in enumerate(("words", "before", "pairs"))}})
+            told(q, parts)
+        return pa.table({"chunk": asking["chunk"], "bucket": asking["bucket"], **{k: pa.array([o[j] for o in out], pa.binary()) for j, k in enumerate(("counts", "words", "before", "pairs"))}})
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, t, b in numbered(batches):
@@ -404,12 +416,15 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
         home = home.sort_by("place").combine_chunks()
         (t,) = chunks(home["text"], lower=True, most=1 << 40, rows=1 << 40)
         got = {b: i for i, b in enumerate(answer["bucket"].to_pylist())}
-        q = []
-        for (keys, salt), name in zip(Asked(tokens(t)[0]).keys(), ("words", "before", "pairs")):
+        asked, q = Asked(tokens(t)[0]), []
+        exact = np.zeros(len(asked.words), np.int64)
+        for (keys, salt), name in zip(asked.keys(), ("words", "before", "pairs")):
             q.append(np.zeros(len(keys), np.int64))
             for i, at in dealt(keys, salt, n):
                 q[-1][at] = np.frombuffer(answer[name][got[i]].as_buffer(), np.uint8)
-        return pa.Table.from_batches([row(t, [home[k].combine_chunks() for k in keep], q)])
+                if name == "words":
+                    exact[at] = np.frombuffer(answer["counts"][got[i]].as_buffer(), "<u8")
+        return pa.Table.from_batches([row(t, [home[k].combine_chunks() for k in keep], q, exact)])
 
     out_schema = with_columns(source, keep, "n_tokens long, head_known long, head_base double, score double, rare array<struct<word:bigint,times:bigint>>, text_hash long")
     if model.segments is None:
@@ -418,24 +433,26 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
         n = model.buckets
         tasks = max(4, n // 3)
         asking = source.mapInArrow(probes, "bucket int, chunk long, words binary, before binary, pairs binary").repartition(tasks, "bucket").groupBy("bucket")
-        answered = asking.cogroup(model.segments.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(answers, "chunk long, bucket int, words binary, before binary, pairs binary")
+        answered = asking.cogroup(model.segments.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(answers, "chunk long, bucket int, counts binary, words binary, before binary, pairs binary")
         named = source.mapInArrow(homes, StructType([*StructType.fromDDL("chunk long, place long"), *source.schema]))
         scored = named.repartition(tasks, "chunk").groupBy("chunk").cogroup(answered.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(finish, out_schema)
-    # one row for the text itself (word is null), one for each rarer word; rows of one text and id come together again
-    rows = scored.select(*keep, "n_tokens", "head_known", "head_base", "score", "text_hash", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("word"), F.lit(0).cast("long").alias("times"))), "rare")).alias("r"))
-    rows = rows.select(*keep, "n_tokens", "head_known", "head_base", "score", "text_hash", "r.word", "r.times")
+    total = math.log10(model.tokens + 0.5 * (model.types + 1))
+    train = F.lit(model.tokens).cast("long").alias("train_tokens")
+    less = F.col("n_tokens") * F.lit(total)
+    if model.segments is not None:
+        return scored.select(*keep, "n_tokens", F.col("head_known").alias("n_known"), train, (F.col("head_base") - less).alias("base_score"), "score")
+    # one row for the text itself (0 times a word drawn from the text, so that such rows don't meet), one for each rarer word; rows
+    # of one text and id come together again
+    own = F.array(F.struct(F.col("text_hash").alias("word"), F.lit(0).cast("long").alias("times")))
+    rows = scored.select(*keep, "n_tokens", "head_known", "head_base", "score", "text_hash", F.explode(F.concat(own, "rare")).alias("r"))
     c = F.coalesce("c", F.lit(0))
-    joined = rows.join(rest, "word", "left")
-    text = F.col("word").isNull().cast("long")
+    joined = rows.select("*", "r.word", "r.times").drop("r").join(rest, "word", "left")
     sums = joined.groupBy(*keep, "text_hash", "n_tokens", "head_known").agg(
-        F.sum(text).alias("copies"), F.max("head_base").alias("head_base"), F.max("score").alias("score"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.when(F.col("word").isNotNull(), F.col("times") * F.log10(c + 0.5)).otherwise(0.0)).alias("rare_base"),
+        F.sum((F.col("times") == 0).cast("long")).alias("copies"), F.max("head_base").alias("head_base"), F.max("score").alias("score"),
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_base"),
     )
-    total = math.log10(model.tokens + 0.5 * (model.types + 1))
     sums = sums.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
     return sums.select(
-        *keep, "n_tokens", (F.col("head_known") + (F.col("rare_known") / F.col("copies")).cast("long")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.col("rare_base") / F.col("copies") - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score",
+        *keep, "n_tokens", (F.col("head_known") + (F.col("rare_known") / F.col("copies")).cast("long")).alias("n_known"), train,
+        (F.col("head_base") + F.col("rare_base") / F.col("copies") - less).alias("base_score"), "score",
     )

@@ -355,7 +355,7 @@ def test_lm_bloom_keeps_what_was_seen_once(spark):
         assert (model.filter is None) == (bound == 1 << 10)
         out = lm_bloom.score(docs, model, rest)
         assert out.count() == len(rows) + 202
-        scores.append(rows_of(out.withColumn("s", F.round("score", 6)), "doc_id", "n_tokens", "n_known", "s"))
+        scores.append(rows_of(out.withColumn("s", F.round("score", 6)).withColumn("b", F.round("base_score", 6)), "doc_id", "n_tokens", "n_known", "s", "b"))
         by = {r["doc_id"]: r["score"] for r in out.collect()}
         assert min(by[i] for i, _ in rows) > max(by[i] for i, _ in strange) and min(by[i] for i, _ in strange) > max(by[i] for i, _ in new)
     assert scores[0] == scores[1]  # broadcast or asked by bucket
