@@ -37,7 +37,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ._shards import shared_checkpoints
 from ._text import U64, WHITESPACE, Texts, Words, chunks, mix, small_batches, trimmed, with_columns
@@ -71,6 +70,9 @@ def pairs(tok: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(keys: np.ndarray, salt: U64, n: int) -> np.ndarray:
+    """A word and the context it makes (the word's low half) share a bucket, so one question asks for both."""
+    if salt != PAIRS:
+        keys, salt = keys & U64(0xFFFFFFFF), U64(0)
     return ((mix(keys ^ salt) >> U64(20)) % U64(n)).astype(np.int64)
 
 
@@ -380,11 +382,13 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, t, _ in numbered(batches):
             rows: dict[int, list[bytes]] = {}
-            for kind, (keys, salt) in enumerate(Asked(tokens(t)[0]).keys()):
-                for i, at in dealt(keys, salt, n):  # words whole, for their exact counts
-                    rows.setdefault(i, [b"", b"", b""])[kind] = short(keys[at], salt).astype("<u4").tobytes() if kind else binary(keys[at])
-            cols = [pa.array([r[j] for r in rows.values()], pa.binary()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(np.full(len(rows), chunk)), *cols], ["bucket", "chunk", "words", "before", "pairs"])
+            asked = Asked(tokens(t)[0])
+            for i, at in dealt(asked.words, U64(0), n):  # whole, for their exact counts
+                rows.setdefault(i, [b"", b""])[0] = binary(asked.words[at])
+            for i, at in dealt(asked.pairs, PAIRS, n):
+                rows.setdefault(i, [b"", b""])[1] = short(asked.pairs[at], PAIRS).astype("<u4").tobytes()
+            cols = [pa.array([r[j] for r in rows.values()], pa.binary()) for j in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(np.full(len(rows), chunk)), *cols], ["bucket", "chunk", "words", "pairs"])
 
     def answers(asking: pa.Table, segment: pa.Table) -> pa.Table:
         out: list[list[bytes]] = [[] for _ in range(asking.num_rows)]
@@ -394,7 +398,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
                 o.append(x.tobytes())
 
         for name, bits, salt in (("words", "main", U64(0)), ("before", "side", CONTEXTS), ("pairs", "main", PAIRS)):
-            parts = [np.frombuffer(x.as_buffer(), "<u8" if name == "words" else "<u4") for x in asking[name]]
+            parts = [np.frombuffer(x.as_buffer(), "<u4" if name == "pairs" else "<u8") for x in asking["pairs" if name == "pairs" else "words"]]
             keys = np.concatenate(parts).astype(U64) if parts else np.empty(0, U64)
             data = segment[bits][0].as_py() if segment.num_rows else None
             if name == "words":
@@ -402,18 +406,21 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
                 at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
                 counts = np.where(own[at] == keys, n_own[at], 0).astype("<u8")
                 told(counts if data is not None else counts * U64(0), parts)
-                keys = short(keys, salt)
+            keys = {"words": lambda: short(keys, salt), "before": lambda: short(keys & U64(0xFFFFFFFF), salt), "pairs": lambda: keys}[name]()
             q = np.zeros(len(keys), np.uint8) if data is None else Filter(1, len(data) * 8, np.frombuffer(data, np.uint8)).read(keys, salt, salt, np.zeros(len(keys), np.int64)).astype(np.uint8)
             told(q, parts)
         return pa.table({"chunk": asking["chunk"], "bucket": asking["bucket"], **{k: pa.array([o[j] for o in out], pa.binary()) for j, k in enumerate(("counts", "words", "before", "pairs"))}})
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's rows as one compressed message."""
         for chunk, t, b in numbered(batches):
-            part = b.slice(t.rows.start, len(t))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), chunk)), pa.array(np.arange(len(t))), *part.columns], ["chunk", "place", *b.schema.names])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(b.slice(t.rows.start, len(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
     def finish(home: pa.Table, answer: pa.Table) -> pa.Table:
-        home = home.sort_by("place").combine_chunks()
+        home = pa.ipc.open_stream(home["rows"][0].as_buffer()).read_all().combine_chunks()
         (t,) = chunks(home["text"], lower=True, most=1 << 40, rows=1 << 40)
         got = {b: i for i, b in enumerate(answer["bucket"].to_pylist())}
         asked, q = Asked(tokens(t)[0]), []
@@ -432,9 +439,9 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[str] = ("do
     else:
         n = model.buckets
         tasks = max(4, n // 3)
-        asking = source.mapInArrow(probes, "bucket int, chunk long, words binary, before binary, pairs binary").repartition(tasks, "bucket").groupBy("bucket")
+        asking = source.mapInArrow(probes, "bucket int, chunk long, words binary, pairs binary").repartition(tasks, "bucket").groupBy("bucket")
         answered = asking.cogroup(model.segments.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(answers, "chunk long, bucket int, counts binary, words binary, before binary, pairs binary")
-        named = source.mapInArrow(homes, StructType([*StructType.fromDDL("chunk long, place long"), *source.schema]))
+        named = source.mapInArrow(homes, "chunk long, rows binary")
         scored = named.repartition(tasks, "chunk").groupBy("chunk").cogroup(answered.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(finish, out_schema)
     total = math.log10(model.tokens + 0.5 * (model.types + 1))
     train = F.lit(model.tokens).cast("long").alias("train_tokens")
