@@ -6,10 +6,10 @@ from .operators.extract import LLMExtractor, QAExtractor, RegexExtractor, predic
 from .operators.frames import read_csv, to_long, to_wide, validate, write_csv
 from .operators.reconcile import Report, reconcile
 from .operators.sampling import build_splits, iaa_subset, leakage, proportional_quotas, quota_sample, slice_summary
-from .schema import FIELDS, HEADLINE, NR, FieldSpec
+from .schema import HEADLINE, NR, NUMERIC, UNITS
 
 __all__ = [
-    "FIELDS", "HEADLINE", "NR", "FieldSpec", "LLMExtractor", "MatchPolicy", "QAExtractor", "RegexExtractor", "Report", "bootstrap", "build_splits", "evaluate",
+    "HEADLINE", "NR", "NUMERIC", "UNITS", "LLMExtractor", "MatchPolicy", "QAExtractor", "RegexExtractor", "Report", "bootstrap", "build_splits", "evaluate",
     "evaluate_by_slice", "field_metrics", "greedy", "iaa_subset", "leakage", "predict", "predict_cells", "proportional_quotas", "quota_sample", "quote_check", "read_csv",
     "reconcile", "slice_summary", "staged", "to_long", "to_wide", "validate", "write_csv",
 ]

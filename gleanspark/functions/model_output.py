@@ -46,7 +46,8 @@ def parse_llm_json(raw: Column) -> Column:
 
     def read(text: Column) -> Column:
         # a reader that stops after the first object would take '{..} {..}': such text has depth 0 before its end
-        whole = F.try_parse_json(text).isNotNull() & ~text.rlike(r"(?s)\}\s*\{")
+        bare = F.regexp_replace(text, r'(?s)"(?:[^"\\]++|\\.)*+"', '""')  # braces inside strings don't count
+        whole = F.try_parse_json(text).isNotNull() & ~bare.rlike(r"(?s)\}\s*\{")
         return F.when(whole, F.from_json(text, RECORD, options))
 
     block = json_block(raw)

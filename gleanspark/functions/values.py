@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import FIELDS, NR, NUMERIC
+from ..schema import NR, NUMERIC, UNITS
 
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE]-?\d+)?"
-FACTORS = {f"{n}|{u}": x for n, f in FIELDS.items() for u, x in f.unit_table.items()}
-CANONICAL_UNITS = {n: f.canonical_unit for n, f in FIELDS.items() if f.canonical_unit}
+FACTORS = {f"{n}|{u}": x for n, (_, table) in UNITS.items() for u, x in table.items()}
+CANONICAL_UNITS = {n: unit for n, (unit, _) in UNITS.items()}
 
 
 def literal_map(pairs: dict) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.bibliography import norm_doi, norm_title
 from ..functions.values import strip
 from ..session import shared_checkpoints
+from .components import components
 
 KEYS = ["k_doi", "k_pmid", "k_pmcid", "k_title", "k_url"]
 
@@ -38,18 +39,11 @@ def staged(records: DataFrame, order: str = "seq") -> DataFrame:
     return df.drop("_ord", *KEYS)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: node, key.  node and component (least node that shared keys lead to), by rounds of least labels over the keys."""
-    labels = edges.groupBy("node").agg(F.min("node").alias("component"))
-    while True:
-        by_key = edges.join(labels, "node").groupBy("key").agg(F.min("component").alias("low"))
-        new = edges.join(by_key, "key").groupBy("node").agg(F.min("low").alias("low")).join(labels, "node")
-        new = new.select("node", F.least("low", "component").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        new = new.checkpoint()
-        moved = new.agg(F.max(F.col("moved").cast("int"))).first()[0]
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
+def connected(shared: DataFrame) -> DataFrame:
+    """shared: node, key.  node and component (the least node that shared keys lead to); each key is a star around its least node."""
+    heads = shared.groupBy("key").agg(F.min("node").alias("a"))
+    roots = components(shared.join(heads, "key").select("a", F.col("node").alias("b")))
+    return roots.select("node", F.col("root").alias("component"))
 
 
 def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -83,8 +77,8 @@ def greedy(records: DataFrame, order: str = "seq") -> DataFrame:
     )
     edges = keyed.select(F.col("seq").alias("node"), F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.col(k)) for k in KEYS])).alias("key")).where("key is not null")
     shared = edges.join(edges.groupBy("key").count().where("count > 1").select("key"), "key")
-    joined = components(shared.select("node", "key"))
-    parts = keyed.join(joined.select(F.col("node").alias("seq"), "component"), "seq", "left")
+    joined = connected(shared.select("node", "key").checkpoint())
+    parts = keyed.join(joined.withColumnRenamed("node", "seq"), "seq", "left")
     alone = parts.where("component is null").select(F.col("seq").alias("slot_seq"), "seq")
 
     def one(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:

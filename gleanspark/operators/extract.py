@@ -86,16 +86,20 @@ class RegexExtractor(Base):
 
 
 def answered(df: DataFrame, column: str, kind: str, answer: Callable[[list[str]], list], load: Callable[[], object] | None, abstract: str) -> DataFrame:
-    """Adds what the model says of each abstract; the model is loaded once in a worker, a failed batch says null."""
+    """Adds what the model says of each abstract; the model is loaded once in a worker, where a batch fails its texts
+    are asked one by one, and only those that fail alone say null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load() if load else None
-        for b in batches:
-            texts = b[abstract].fillna("").tolist()
+        def ask(texts: list[str]) -> list:
             try:
-                said = answer(model, texts) if load else answer(texts)
+                return list(answer(model, texts) if load else answer(texts))
             except Exception:
-                said = [None] * len(texts)
+                return [None] if len(texts) == 1 else [x for t in texts for x in ask([t])]
+
+        for b in batches:
+            texts = b[abstract].fillna("").tolist()
+            said = ask(texts) if texts else []
             yield b.assign(**{column: said})
 
     from pyspark.sql.types import StructType

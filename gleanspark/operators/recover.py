@@ -45,7 +45,12 @@ def resolve(missing: DataFrame, landed: DataFrame) -> DataFrame:
 
 def crosscheck(gold: DataFrame, fetched: DataFrame, contained: DataFrame, warehouse: DataFrame) -> DataFrame:
     """Gold abstracts against the re-fetched ones, else against the warehouse row that contains the record."""
-    unique = lambda df, key: df.dropDuplicates([key])
+
+    def unique(df: DataFrame, key: str) -> DataFrame:
+        """The last row of each key by seq; without that column, by all columns."""
+        at = F.col("seq") if "seq" in df.columns else F.to_json(F.struct("*"))
+        return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct("*"), at).alias("_row")).select("_row.*")
+
     f = unique(fetched, "record_id").select("record_id", F.coalesce("abstract_or_summary", F.lit("")).alias("re"), F.lit(True).alias("again"))
     w = unique(warehouse, "record_id").select(F.col("record_id").alias("matched_warehouse_record_id"), F.col("abstract_or_summary").alias("wh"))
     c = contained.select("record_id", "matched_warehouse_record_id")

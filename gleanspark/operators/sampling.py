@@ -1,8 +1,9 @@
 """Stratified samples and splits, deterministic by a hash of seed and id.
 
-Ranks inside a stratum come from the hash; a stratum may be large, so its best
-rows are found in two steps (the best of each of many salted parts, then the
-best of those), and no task orders a whole stratum.
+Ranks inside a stratum come from the hash.  A stratum may be large and its quota
+too, so rows are counted by the first digits of the hash: running sums over these
+few counts say which rows are in and which are out, and only rows of the one
+group in which the quota ends are ordered.  No task orders a whole stratum.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ IAA_QUOTAS = [
     ("micro/nanobubble", "original", 3),
 ]
 SLICES = ["year_bucket", "source_api", "document_type", "nb_label", "application_bucket"]
-SALT = 64
+#: First hex digits of the draw by which a stratum is counted.
+DIGITS = 3
 
 
 def draw(seed: int, record_id: str = "record_id") -> Column:
@@ -30,19 +32,27 @@ def draw(seed: int, record_id: str = "record_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(record_id).cast("string")))
 
 
-def taken(df: DataFrame, by: list[str], limit: str, order: list[Column]) -> DataFrame:
-    """The first rows of each group, as many as the column limit says, without ordering a whole group in one task."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SALT)))
-    part = Window.partitionBy(*by, "_salt").orderBy(*order)
-    best = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= F.col(limit))
-    return best.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= F.col(limit)).drop("_rank", "_salt")
+def taken(df: DataFrame, by: list[str], limit: str, order: list[Column], coarse: list[Column]) -> DataFrame:
+    """The first rows of each group, as many as the column limit says, without ordering a whole group in one task.  coarse:
+    values that rise with the order; rows of equal values are ordered among themselves only where the limit falls on them."""
+    names = [f"_c{k}" for k in range(len(coarse))]
+    df = df.withColumns(dict(zip(names, coarse)))
+    counts = df.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy(*names)) - F.col("_n"))
+    keys = [*by, *names]
+    counts = counts.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    met = df.join(counts, same).where(F.col("_before") < F.col(limit))
+    whole, last = F.col("_before") + F.col("_n") <= F.col(limit), Window.partitionBy(*keys).orderBy(*order)
+    cut = met.where(~whole).withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") <= F.col(limit) - F.col("_before")).drop("_rank")
+    return met.where(whole).unionByName(cut).drop(*names, *[f"_k{i}" for i in range(len(keys))], "_n", "_before")
 
 
 def quota_sample(df: DataFrame, by: list[str], n: int, quotas: DataFrame, seed: int = 42) -> DataFrame:
     """quotas: by and quota.  As many rows of each stratum as its quota (or all it has), topped up to n from the others; more
     than n if the quotas say so.  Rows come in the order of the draw."""
     pool = df.withColumn("_draw", draw(seed))
-    picked = taken(pool.join(F.broadcast(quotas.where("quota > 0")), by), by, "quota", [F.col("_draw")]).drop("quota")
+    picked = taken(pool.join(quotas.where("quota > 0"), by), by, "quota", [F.col("_draw")], [F.substring("_draw", 1, DIGITS)]).drop("quota")
     missing = n - picked.count()
     if missing > 0:
         rest = pool.join(picked.select("record_id"), "record_id", "left_anti").orderBy("_draw").limit(missing)
@@ -154,7 +164,7 @@ def candidate_pool(df: DataFrame, by: list[str], n: int, score: str) -> DataFram
     groups = df.select(*by).distinct()
     share = -(-n // max(1, groups.count()))
     pool = df.withColumn("_share", F.lit(share)).withColumn("_draw", draw(42))
-    return taken(pool, by, "_share", [F.desc(score), F.col("_draw")]).drop("_share", "_draw")
+    return taken(pool, by, "_share", [F.desc(score), F.col("_draw")], [-F.col(score), F.substring("_draw", 1, DIGITS)]).drop("_share", "_draw")
 
 
 def temporal_split(df: DataFrame, first_test_year: int, year: str = "year") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.bibliography import APPLICATIONS
 from ..functions.model_output import UNIT_WORDS
 from ..operators.extract import PATTERNS
-from ..schema import FIELDS, HEADLINE, NUMERIC
+from ..schema import HEADLINE, NUMERIC, UNITS
 from . import inputs as i
 
 GOLD, PRED = f"({i.long_sql(i.GOLD)})", f"({i.long_sql(i.PRED)})"
@@ -28,7 +28,7 @@ def unit(u: str) -> str:
 
 
 def factor(field: str, u: str) -> str:
-    cases = " ".join(f"WHEN '{n}|{k}' THEN CAST('{x!r}' AS DOUBLE)" for n, f in FIELDS.items() for k, x in f.unit_table.items())
+    cases = " ".join(f"WHEN '{n}|{k}' THEN CAST('{x!r}' AS DOUBLE)" for n, (_, table) in UNITS.items() for k, x in table.items())
     return f"CASE {field} || '|' || {u} {cases} END"
 
 
@@ -53,7 +53,7 @@ def supported(v: str, e: str, field: str) -> str:
     return f"(NOT {nr(e)} AND CASE WHEN {field} IN ({numeric}) AND {x} IS NOT NULL THEN contains({text(e)}, {shown(x)}) ELSE contains({text(e)}, {text(v)}) END)"
 
 
-CUNIT = "CASE field " + " ".join(f"WHEN '{n}' THEN '{f.canonical_unit}'" for n, f in FIELDS.items() if f.canonical_unit) + " END"
+CUNIT = "CASE field " + " ".join(f"WHEN '{n}' THEN '{unit}'" for n, (unit, _) in UNITS.items()) + " END"
 ORD = "CASE field " + " ".join(f"WHEN '{f}' THEN {k + 1}" for k, f in enumerate(HEADLINE)) + " ELSE 99 END"
 NUMERIC_SQL = ", ".join(f"'{n}'" for n in NUMERIC)
 

@@ -157,3 +157,38 @@ def test_harvest_parsers(spark, tmp_path):
     source.fetch.pause = 0
     assert len(list(source.search("q", 10))) == 3 and calls == ["*", "*", "n"]
     assert sum(map(len, harvest.QUERY_FAMILIES.values())) == 50 and harvest.work_table(spark, ["A", "B"]).count() == 100
+
+
+def test_braces_in_a_quote_are_text(spark):
+    from gleanspark.functions import model_output as mo
+
+    raw = [('{"size": {"value": 5, "unit": "nm", "evidence_quote": "sets {a} {b} of 5 nm \\" x } {"}}',), ('{"size": {"value": 5}} {"size": {"value": 6}}',)]
+    got = spark.createDataFrame(raw, "raw string").select(mo.parse_llm_json(F.col("raw")).alias("r")).select("r.size.value").collect()
+    assert [r["value"] for r in got] == ["5", None]
+
+
+def test_a_failing_abstract_fails_alone(spark):
+    from gleanspark.operators import extract
+
+    def answer(texts):
+        if "bad" in texts:
+            raise ValueError("bad")
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(t,) for t in ("a", "bad", "c", None)], "abstract string").coalesce(1)
+    got = extract.answered(df, "said", "string", answer, None, "abstract").collect()
+    assert {r["abstract"]: r["said"] for r in got} == {"a": "A", "bad": None, "c": "C", None: ""}
+
+
+def test_quota_ends_inside_a_large_stratum(spark):
+    from gleanspark.operators import sampling
+
+    df = spark.range(5000).select(F.col("id").cast("string").alias("record_id"), (F.col("id") % 2).cast("string").alias("s"))
+    quotas = spark.createDataFrame([("0", 1700), ("1", 3)], "s string, quota int")
+    got = [r["record_id"] for r in sampling.quota_sample(df, ["s"], 1703, quotas, 7).collect()]
+    import hashlib
+
+    draw = lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest()
+    want = [x for s, n in ((0, 1700), (1, 3)) for x in sorted((str(i) for i in range(5000) if i % 2 == s), key=draw)[:n]]
+    assert got == sorted(want, key=draw)
+    assert sampling.quota_sample(df, ["s"], 1710, quotas, 7).count() == 1710

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleanspark.functions import values as v
-from gleanspark.schema import FieldSpec
+from gleanspark.schema import HEADLINE, NUMERIC, TEXT, UNITS
 
 
 def column(spark, rows, kind, expr):
@@ -60,8 +60,6 @@ def test_parse_number_against_plain_code(spark, texts):
     assert column(spark, texts, "v string", v.parse_number(F.col("v"))) == [plain(t) for t in texts]
 
 
-def test_field_needs_a_unit_exactly_if_numeric():
-    with pytest.raises(ValueError):
-        FieldSpec("x", True)
-    with pytest.raises(ValueError):
-        FieldSpec("x", False, "nm")
+def test_amounts_have_a_canonical_unit_of_factor_one():
+    assert set(NUMERIC) == set(UNITS) < set(HEADLINE) and not set(TEXT) & set(NUMERIC)
+    assert all(table[unit.lower()] == 1.0 for unit, table in UNITS.values())
