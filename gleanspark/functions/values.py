@@ -126,13 +126,13 @@ def _six_digits(x: Column, shown: Column) -> Column:
 
 
 def number_string(x: Column) -> Column:
-    """Whole numbers without a point, others with six significant digits like C's %g: rounded by the exact binary value."""
-
-    def of(v: Column) -> Column:
-        toward_zero = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))
-        return F.when(F.abs(v - toward_zero) < 1e-9, toward_zero.cast("string")).otherwise(let(F.format_string("%.5e", v), lambda shown: _six_digits(v, shown)))
-
-    return let(x, of)
+    """Whole numbers without a point, others with six significant digits like C's %g: rounded by the exact binary value.  Where the
+    engine's own text of the number has no more digits than that, it is the answer already and nothing needs rounding."""
+    own = x.cast("string")
+    short = ~own.contains("E") & (F.length(F.translate(own, "-.", "")) <= 6)
+    toward_zero = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+    rounded = let(x, lambda v: let(F.format_string("%.5e", v), lambda shown: _six_digits(v, shown)))
+    return F.when(F.abs(x - toward_zero) < 1e-9, toward_zero.cast("string")).when(short, own).otherwise(rounded)
 
 
 def supported(x: Column, text: Column, evidence: Column, field: Column) -> Column:

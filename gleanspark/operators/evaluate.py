@@ -1,4 +1,8 @@
-"""Scores of predicted against gold cells: one join and one aggregation for all fields."""
+"""Scores of predicted against gold cells: one join and one aggregation for all fields.
+
+Frames are long (a row for each cell) or wide (a row for each record); wide ones are cheaper, as records are joined
+before they become cells.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import canonical_amount, canonical_text, char_iou, either_contains, is_nr, near, normalise_unit, numeric_match, parse_number, supported
-from ..schema import HEADLINE, NR, NUMERIC
+from ..schema import HEADLINE, NR, NUMERIC, PARTS
+from .frames import side_by_side, to_long
 
 METRICS = ["naive_f1", "nr_f1", "acal_f1", "span_iou", "num_match", "unit_accuracy", "ae_consistency"]
 COUNTS = ["n_emit_gold", "n_emit_pred", "n_nr_gold", "n_iou_evaluable", "n_num_evaluable", "n_unit_evaluable"]
@@ -30,11 +35,23 @@ def ordinal(field: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, HEADLINE)), field).cast("int")
 
 
-def paired(a: DataFrame, b: DataFrame, policy: MatchPolicy, keep: list[str] = ()) -> DataFrame:
-    """Cells of both frames side by side, each compared once: emits, canonical amounts, match and character overlap of quotes."""
-    left = a.select(*keep, "record_id", "field", *[F.col(p).alias(f"a_{p}") for p in ("value", "unit", "evidence_quote")])
-    right = b.select("record_id", "field", *[F.col(p).alias(f"b_{p}") for p in ("value", "unit", "evidence_quote")])
-    both = left.join(right, ["record_id", "field"])
+def is_wide(frame: DataFrame) -> bool:
+    return "field" not in frame.columns
+
+
+def joined(a: DataFrame, b: DataFrame, keep: list[str], how: str) -> DataFrame:
+    if is_wide(a) and is_wide(b):
+        return side_by_side(a, b, keep, how)
+    a, b = (to_long(x, keep=k) if is_wide(x) else x for x, k in ((a, list(keep)), (b, [])))
+    left = a.select(*keep, "record_id", "field", F.lit(True).alias("aligned"), *[F.col(p).alias(f"a_{p}") for p in PARTS])
+    right = b.select("record_id", "field", *[F.col(p).alias(f"b_{p}") for p in PARTS])
+    return left.join(right, ["record_id", "field"], how).withColumn("aligned", F.coalesce("aligned", F.lit(False)))
+
+
+def paired(a: DataFrame, b: DataFrame, policy: MatchPolicy, keep: list[str] = (), how: str = "inner") -> DataFrame:
+    """Cells of both frames side by side, each compared once: emits, canonical amounts, match and character overlap of quotes.  After
+    a right join the cells that only b has are not aligned."""
+    both = joined(a, b, keep, how)
     # in steps, so that each text is normalised once
     steps = {}
     for s in "ab":
@@ -57,12 +74,13 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def counted(pairs: DataFrame, by: list[str], tolerance: float) -> DataFrame:
-    """Everything a group's scores need, as counts and sums."""
-    n = F.count_if
+    """Everything a group's scores need, as counts and sums.  Only ae_consistency asks for cells that aren't aligned."""
+    n = lambda c: F.count_if(F.col("aligned") & (F.col(c) if isinstance(c, str) else c))
+    told = supported(F.col("b_n"), F.col("b_t"), F.col("b_q"), F.col("field"))
     g, p, same = F.col("a_emit"), F.col("b_emit"), F.col("same")
     units = F.col("num") & ~is_nr(F.col("a_unit")) & ~is_nr(F.col("b_unit"))
     return pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), n(same).alias("tp"), n(p & ~same).alias("fp"), n(g & ~p).alias("fn"),
+        n(F.lit(True)).alias("n"), F.avg(F.when(p, told.cast("double"))).alias("ae_consistency"), n(same).alias("tp"), n(p & ~same).alias("fp"), n(g & ~p).alias("fn"),
         n(~g & ~p).alias("nr_tp"), n(g & ~p).alias("nr_fp"), n(~g & p).alias("nr_fn"),
         F.avg("iou").alias("span_iou"), F.count("iou").alias("n_iou_evaluable"),
         n(F.col("num") & near(F.col("a_x.value"), F.col("b_x.value"), tolerance)).alias("num_ok"), n("num").alias("n_num_evaluable"),
@@ -83,21 +101,20 @@ def ae_consistency(pred: DataFrame, by: list[str]) -> DataFrame:
 
 def field_metrics(gold: DataFrame, pred: DataFrame, policy: MatchPolicy = MatchPolicy(), rel_tol: float = 0.05, by: list[str] = ()) -> DataFrame:
     """by, field and all scores.  The recall of values counts only gold cells without any prediction as missed; a wrong value
-    is a false positive alone."""
-    counts = counted(paired(gold, pred, policy, list(by)), [*by, "field"], rel_tol)
+    is a false positive alone.  Without by, all predicted cells count for ae_consistency, aligned or not; with it, those of gold's records."""
+    counts = counted(paired(gold, pred, policy, list(by), "inner" if by else "right"), [*by, "field"], rel_tol).where("n > 0")
     rows = counts.select(
         *by, "field", "n", f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("naive_f1"), f1(F.col("nr_tp"), F.col("nr_fp"), F.col("nr_fn")).alias("nr_f1"),
         (F.col("tp") + F.col("fn")).alias("n_emit_gold"), (F.col("tp") + F.col("fp")).alias("n_emit_pred"), (F.col("nr_tp") + F.col("nr_fn")).alias("n_nr_gold"),
         "span_iou", "n_iou_evaluable", F.try_divide("num_ok", "n_num_evaluable").alias("num_match"), "n_num_evaluable",
-        F.try_divide("unit_ok", "n_unit_evaluable").alias("unit_accuracy"), "n_unit_evaluable",
+        F.try_divide("unit_ok", "n_unit_evaluable").alias("unit_accuracy"), "n_unit_evaluable", "ae_consistency",
     )
     rows = rows.withColumn("acal_f1", (F.col("naive_f1") + F.col("nr_f1")) / 2)
-    if by:
+    if by and not (is_wide(gold) and is_wide(pred)):  # a long frame may lack a field of a record that has a slice
         ids = gold.select("record_id", *by).distinct()
-        support = ae_consistency(pred.join(ids, "record_id"), [*by, "field"])
-    else:
-        support = ae_consistency(pred, ["field"])
-    return rows.join(support, [*by, "field"], "left").select(*by, "field", "n", *METRICS, *COUNTS)
+        cells = to_long(pred) if is_wide(pred) else pred
+        rows = rows.drop("ae_consistency").join(ae_consistency(cells.join(ids, "record_id"), [*by, "field"]), [*by, "field"], "left")
+    return rows.select(*by, "field", "n", *METRICS, *COUNTS)
 
 
 def with_macro(rows: DataFrame, by: list[str] = ()) -> DataFrame:

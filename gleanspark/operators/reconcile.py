@@ -39,7 +39,7 @@ def labels_of(path_a: str, path_b: str) -> tuple[str, str]:
 
 
 def reconcile(a: DataFrame, b: DataFrame, label_a: str = "A", label_b: str = "B", policy: MatchPolicy = MatchPolicy()) -> Report:
-    """a, b: long frames.  Numbers match relative to annotator A."""
+    """a, b: long or wide frames.  Numbers match relative to annotator A."""
     pairs = paired(a, b, policy)
     x, y, same, n = F.col("a_emit"), F.col("b_emit"), F.col("same"), F.count_if
     c = pairs.groupBy("field").agg(

@@ -43,8 +43,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
+def frame(spark: SparkSession, sf_dir: str, cells: dict) -> DataFrame:
+    """The wide frame."""
+    return spark.sql(wide(cells, "{orders}"), orders=orders(spark, sf_dir))
+
+
 def long(spark: SparkSession, sf_dir: str, cells: dict) -> DataFrame:
-    return frames.to_long(spark.sql(wide(cells, "{orders}"), orders=orders(spark, sf_dir)), FIELDS, ["label"])
+    return frames.to_long(frame(spark, sf_dir, cells), FIELDS, ["label"])
 
 
 #: Bibliographic rows from parts, with shared identifiers; seq is unique.

@@ -166,8 +166,8 @@ SPLITS = f"""{POOLED}, pin AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) record_id
     dev AS (SELECT w.record_id FROM w JOIN q ON w.lab = q.a AND w.dt = q.b WHERE k <= quota),
     sp AS (SELECT f.*, CASE WHEN dev.record_id IS NULL THEN 'test' ELSE 'dev' END split FROM f LEFT JOIN dev ON f.record_id = dev.record_id)"""
 splits_rows = f"WITH {SPLITS} SELECT split, in_iaa, count(*) AS n FROM sp GROUP BY ALL"
-slice_totals = f"""WITH {SPLITS}, v AS (SELECT in_iaa, source_api, dt, lab, {BUCKETS} FROM sp) """ + " UNION ALL ".join(
-    f"SELECT '{s}' AS slice, {c} AS value, count(*) AS total, count(*) FILTER (in_iaa) AS iaa, count(*) AS split_rows FROM v GROUP BY {c}"
+slice_totals = f"""WITH {SPLITS}, v AS (SELECT split, in_iaa, source_api, dt, lab, {BUCKETS} FROM sp) """ + " UNION ALL ".join(
+    f"SELECT '{s}' AS slice, {c} AS value, count(*) AS total, count(*) FILTER (in_iaa) AS iaa, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM v GROUP BY {c}"
     for s, c in (("year_bucket", "year_bucket"), ("source_api", "source_api"), ("document_type", "dt"), ("nb_label", "lab"), ("application_bucket", "application_bucket"))
 )
 leakage = f"""WITH {SPLITS}, a AS (SELECT count(*) - count(DISTINCT record_id) dup, count(*) FILTER (in_iaa) iaa, count(*) FILTER (in_iaa AND split = 'test') iaa_test, count(*) FILTER (year IS NULL) y, count(*) FILTER (abstract_or_summary IS NULL) t FROM sp),

@@ -19,7 +19,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def both(spark, sf_dir):
-    return i.long(spark, sf_dir, i.GOLD), i.long(spark, sf_dir, i.PRED)
+    return i.frame(spark, sf_dir, i.GOLD), i.frame(spark, sf_dir, i.PRED)
 
 
 def eval_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def split_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.slice_summary(splits(spark, sf_dir)).select("slice", "value", "total", "iaa", (F.col("dev") + F.col("test")).alias("split_rows"))
+    return sampling.slice_summary(splits(spark, sf_dir)).select("slice", "value", "total", "iaa", "dev", "test")
 
 
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +240,7 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = spark.sql(i.wide(i.GOLD, "{orders}"), orders=i.orders(spark, sf_dir))
+    w = i.frame(spark, sf_dir, i.GOLD)
     quote = frames.verbatim(F.col("size_evidence_quote"), F.concat(F.lit("it has "), F.col("size_evidence_quote")))
     return w.select("record_id", frames.is_complete(i.FIELDS).alias("complete"), quote.alias("verbatim"))
 

@@ -68,6 +68,20 @@ def test_quote_check_and_bootstrap(long):
     assert row["rounds"] == 50 and row["low"] <= row["mean"] <= row["high"]
 
 
+def test_wide_frames_score_like_long_ones(spark, long):
+    guesses = {(r, f): GOLD.get((r, f), (*GUESS[f], "guessed")) for r in ("r1", "r2", "r3", "r4", "r5", "r6") for f in HEADLINE}
+    gold, bad = frame(spark, GOLD), frame(spark, guesses)
+    fewer = gold.where("record_id <> 'r3'")  # r3 is predicted only: it counts for ae_consistency alone
+    want = evaluate.evaluate(frames.to_long(fewer), long["bad"]).collect()
+    assert sorted(evaluate.evaluate(fewer, bad).collect()) == sorted(want) == sorted(evaluate.evaluate(fewer, long["bad"]).collect())
+    assert next(r for r in want if r["field"] == "size")["n"] == 5
+    sliced = fewer.withColumn("half", F.col("record_id") < "r4")
+    by_long = evaluate.evaluate_by_slice(frames.to_long(sliced, keep=["half"]), long["bad"], ["half"], 1)
+    assert sorted(evaluate.evaluate_by_slice(sliced, bad, ["half"], 1).collect()) == sorted(by_long.collect())
+    assert reconcile.reconcile(gold, bad).disagreements.count() == 25
+    assert evaluate.evaluate(gold.where("false"), bad).where("field <> 'MACRO'").count() == 0
+
+
 def test_bootstrap_query_draws_the_default_rounds(long, monkeypatch):
     monkeypatch.setattr(queries, "both", lambda spark, sf_dir: (long["gold"], long["bad"]))
     assert queries.bootstrap_ci(None, "").first()["rounds"] == 1000
