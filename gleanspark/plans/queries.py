@@ -197,7 +197,7 @@ def qa_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.array_remove(F.split("text", "[ \n]+"), "").alias("w"))
+    t = i.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", F.array_remove(F.split("text", "[ \n]+"), "").alias("w"))
     places = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("k"), F.filter(F.transform(F.col("w"), lambda y, n: F.when(y == x, n)), lambda n: n.isNotNull()).alias("v")))
     return t.select("conv_id", "turn", bib.inverted_index_text(F.map_from_entries(places)).alias("text"))
 
