@@ -109,6 +109,32 @@ SELECT CAST(doc_id AS STRING) AS record_id, CASE WHEN doc_id % 13 = 0 THEN NULL
        text AS abstract_or_summary
 FROM {documents}
 """
+#: Harvested works of one API as it sends them.
+HARVESTED = """
+SELECT 'OpenAlex' AS api, 'family ' || CAST(p_partkey % 5 AS STRING) AS query_family,
+       '{{"id": "https://openalex.org/W' || CAST(p_partkey AS STRING) || '", "doi": ' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"https://doi.org/10.1000/' || CAST(p_partkey AS STRING) || '"' END
+       || ', "title": ' || CASE WHEN p_partkey % 7 = 0 THEN 'null' WHEN p_partkey % 7 = 1 THEN '""' ELSE '"' || p_name || '"' END || ', "display_name": "' || p_type || '", "type": "' || CASE p_partkey % 4 WHEN 0 THEN 'Review' WHEN 1 THEN 'review-article' ELSE 'article' END
+       || '", "publication_year": ' || CASE WHEN p_partkey % 8 = 0 THEN 'null' ELSE CAST(1970 + p_size AS STRING) END || ', "cited_by_count": ' || CAST(p_partkey % 100 AS STRING)
+       || ', "authorships": [{{"author": {{"display_name": "' || p_brand || '"}}}}, {{"author": {{"display_name": ""}}}}, {{"author": {{"display_name": "A. ' || p_brand || '"}}}}]'
+       || ', "primary_location": ' || CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE '{{"source": {{"display_name": "Journal ' || CAST(p_size AS STRING) || '"}}}}' END
+       || ', "ids": {{"pmid": "https://pubmed.ncbi.nlm.nih.gov/' || CAST(p_partkey AS STRING) || '", "pmcid": "https://www.ncbi.nlm.nih.gov/pmc/articles/' || CAST(p_partkey % 90 AS STRING) || '/"}}'
+       || ', "abstract_inverted_index": ' || CASE WHEN p_partkey % 6 = 0 THEN 'null' ELSE '{{"' || p_brand || '": [1, 3], "the": [0, 2]}}' END || '}}' AS raw
+FROM {part}
+"""
+#: What APIs answered for DOIs, and records that look for theirs.
+LANDED = """
+SELECT CASE s_suppkey % 3 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'OpenAlex' ELSE 'EuropePMC' END AS api, '10.1000/' || CAST(s_suppkey % 37 AS STRING) AS doi, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'A work' END AS title
+FROM {supplier} WHERE s_suppkey <= 111
+"""
+MISSING = """
+SELECT CAST(c_custkey AS STRING) AS record_id, CASE c_custkey % 4 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'OpenAlex' WHEN 2 THEN 'EuropePMC' ELSE '' END AS source, '10.1000/' || CAST(c_custkey % 41 AS STRING) AS first_doi, '10.1000/' || CAST(c_custkey % 53 AS STRING) AS second_doi
+FROM {customer}
+"""
+#: Abstracts fetched again, twice for some records, and the warehouse rows that hold the others.
+FETCHED = """
+SELECT CAST(c_custkey AS STRING) AS record_id, c_custkey * 2 + t AS seq, CASE WHEN t = 0 THEN 'an older text' WHEN c_custkey % 2 = 0 THEN upper(c_name) || ' ' || c_mktsegment WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || '  ' || c_mktsegment END AS abstract_or_summary
+FROM {customer}, (SELECT 0 AS t UNION ALL SELECT 1) x WHERE c_custkey % 3 = 0
+"""
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

@@ -236,6 +236,25 @@ completeness = f"SELECT record_id, {' AND '.join(f'trim({f}_value) <> {chr(39)}{
 task_view_counts = f"SELECT 'all' AS view, count(*) AS n FROM {GOLD} q UNION ALL SELECT 'numeric', count(*) FROM {GOLD} q WHERE field IN ({NUMERIC_SQL}) UNION ALL SELECT 'evidence', count(*) FROM {GOLD} q WHERE NOT {nr('value')}"
 SPLIT_LINE = ", ".join(f"'\"{k}\":\"' || {c} || '\"'" for k, c in (("year_bucket", "year_bucket"), ("source_api", "source_api"), ("document_type", "dt"), ("nb_label", "lab"), ("application_bucket", "application_bucket")))
 splits_payload = f"WITH {SPLITS}, v AS (SELECT record_id, split, in_iaa, source_api, dt, lab, {BUCKETS} FROM sp) SELECT record_id, '{{\"split\":\"' || split || '\",\"in_iaa\":' || in_iaa || ',' || concat_ws(',', {SPLIT_LINE}) || '}}' AS json FROM v"
+parse_openalex = """SELECT 'OpenAlex_W' || p_partkey AS record_id, 'OpenAlex' AS source_api, 'W' || p_partkey AS source_id, CASE WHEN p_partkey % 7 < 2 THEN p_type ELSE p_name END AS title, p_brand || '; A. ' || p_brand AS authors,
+    CASE WHEN p_partkey % 8 > 0 THEN 1970 + p_size END AS year, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'Journal ' || p_size END AS journal_or_venue, CASE WHEN p_partkey % 3 > 0 THEN '10.1000/' || p_partkey END AS doi,
+    CAST(p_partkey AS VARCHAR) AS pmid, CAST(p_partkey % 90 AS VARCHAR) AS pmcid, CASE WHEN p_partkey % 3 > 0 THEN 'https://doi.org/10.1000/' ELSE 'https://openalex.org/W' END || p_partkey AS url,
+    CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'the ' || p_brand || ' the ' || p_brand END AS abstract_or_summary, CAST(p_partkey % 100 AS INT) AS citation_count, CASE WHEN p_partkey % 4 < 2 THEN 'review' ELSE 'original' END AS document_type,
+    'family ' || (p_partkey % 5) AS query_family FROM part"""
+append_rows = f"SELECT seq + CASE WHEN seq % 2 = 1 THEN 1099511627776 ELSE 0 END AS seq, record_id, CASE WHEN seq % 2 = 0 THEN url END AS url FROM ({PART}) u"
+resolve_sources = f"""WITH m AS ({i.duck(i.MISSING, "customer")}), l AS ({i.duck(i.LANDED, "supplier")}), t AS (SELECT record_id, source, 0 AS pos, first_doi AS doi FROM m UNION ALL SELECT record_id, source, 1, second_doi FROM m),
+    h AS (SELECT t.record_id, l.*, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN api = source THEN 0 WHEN api = 'PubMed' THEN 1 WHEN api = 'OpenAlex' THEN 2 ELSE 3 END, pos) turn FROM t JOIN l ON t.doi = l.doi WHERE l.title <> '')
+    SELECT m.record_id, h.doi IS NOT NULL AS ok, h.api, h.title, h.doi FROM m LEFT JOIN h ON m.record_id = h.record_id AND turn = 1"""
+crosscheck_records = f"""WITH g AS (SELECT CAST(k AS VARCHAR) record_id, k, abstract_or_summary gold FROM ({CUSTOMER}) c), f AS (SELECT record_id, abstract_or_summary re, row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) turn FROM ({i.duck(i.FETCHED, "customer")}) x),
+    w AS (SELECT record_id wid, abstract_or_summary wh, row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) turn FROM ({PART}) u),
+    j AS (SELECT g.record_id, gold, f.record_id IS NOT NULL again, CASE WHEN f.record_id IS NOT NULL THEN re ELSE coalesce(wh, '') END source FROM g LEFT JOIN f ON g.record_id = f.record_id AND f.turn = 1 LEFT JOIN w ON k % 4 > 0 AND wid = 'rec_' || k AND w.turn = 1)
+    SELECT record_id, CASE WHEN again THEN 'refetched' ELSE 'warehouse_existing' END AS origin,
+      CASE WHEN gold <> '' AND gold = source THEN 'verbatim_match' WHEN gold <> '' AND source <> '' AND {NORM("gold")} = {NORM("source")} THEN 'normalized_match' WHEN source = '' THEN 'refetch_failed' WHEN gold = '' THEN 'no_gold_abstract' ELSE 'source_side_revision_or_mismatch' END AS status,
+      CAST(length(gold) AS INT) AS gold_abstract_len, CAST(length(source) AS INT) AS refetched_abstract_len, substr(gold, 1, 120) AS gold_first120, substr(source, 1, 120) AS refetched_first120 FROM j"""
+other_splits = f"SELECT record_id, year, document_type, CASE WHEN CAST(year AS INT) < 2015 THEN 'dev' ELSE 'test' END AS by_year, CASE WHEN coalesce(document_type, 'unknown') IN ('review', 'unknown') THEN 'test' ELSE 'dev' END AS by_type FROM ({DOCS}) u"
+splits_meta = f"""WITH {SPLITS}, v AS (SELECT split, in_iaa, source_api, dt AS document_type, lab AS nb_label, {BUCKETS} FROM sp)
+    SELECT count(*) AS n_total, count(*) FILTER (split = 'dev') AS n_dev, count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (in_iaa) AS n_iaa, 42 AS seed, 0.1e0 AS dev_fraction,
+      {', '.join(f"string_agg(DISTINCT {c}, '|' ORDER BY {c}) AS {c}" for c in ("year_bucket", "source_api", "document_type", "nb_label", "application_bucket"))} FROM v"""
 
 #: Without SQL: bootstrap_ci (hashed draws), dedup_greedy (a sequential fold), qa_spans; pytest compares them with plain code.
 ORACLE_SQL = {
@@ -245,5 +264,6 @@ ORACLE_SQL = {
         "reconcile_stats", "reconcile_agreements", "reconcile_disagreements", "strat_quotas", "strat_sample", "splits_rows", "split_buckets", "slice_totals", "leakage", "splits_payload",
         "dedup_staged", "title_doi_keys", "id_parse", "containment", "crosscheck", "crosscheck_counts", "llm_json", "numeric_spans", "inverted_index", "year_hist", "year_bins", "coverage",
         "cooccurrence", "source_shares", "top_venues", "missing_values", "corpus_compare", "tiers", "completeness", "task_view_counts",
+        "parse_openalex", "append_rows", "resolve_sources", "crosscheck_records", "other_splits", "splits_meta",
     )
 }

@@ -9,6 +9,7 @@ from ..functions import bibliography as bib
 from ..functions import model_output as mo
 from ..functions import values as v
 from ..operators import characterize, dedup, evaluate, extract, frames, reconcile, recover, sampling
+from ..sources import harvest
 from . import inputs as i
 
 PLACES = 9
@@ -251,6 +252,38 @@ def task_view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("all").unionByName(one("numeric")).unionByName(one("evidence"))
 
 
+def parse_openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.parse_openalex(i.derived(spark, sf_dir, i.HARVESTED, "part"))
+
+
+def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = warehouse(spark, sf_dir)
+    return dedup.append(w.where("seq % 2 = 0"), w.where("seq % 2 = 1").drop("url")).select("seq", "record_id", "url")
+
+
+def resolve_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing = i.derived(spark, sf_dir, i.MISSING, "customer").select("record_id", "source", F.array("first_doi", "second_doi").alias("candidates"))
+    return recover.resolve(missing, i.derived(spark, sf_dir, i.LANDED, "supplier"))
+
+
+def crosscheck_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = audit(spark, sf_dir).select(F.col("k").cast("string").alias("record_id"), "abstract_or_summary", "k")
+    held = F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("rec_"), F.col("k").cast("string")))
+    contained = gold.select("record_id", held.alias("matched_warehouse_record_id"))
+    return recover.crosscheck(gold, i.derived(spark, sf_dir, i.FETCHED, "customer"), contained, warehouse(spark, sf_dir))
+
+
+def other_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pool(spark, sf_dir).select("record_id", "year", "document_type")
+    by_time = sampling.temporal_split(p, 2015).withColumnRenamed("split", "by_year")
+    return sampling.holdout_split(by_time, "document_type", ["review", "unknown"]).withColumnRenamed("split", "by_type")
+
+
+def splits_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sampling.splits_meta(splits(spark, sf_dir))
+    return m.select(*[F.array_join(c, "|").alias(c) if t.startswith("array") else c for c, t in m.dtypes])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -258,5 +291,6 @@ QUERIES = {
         regex_extract, regex_then_eval, reconcile_stats, reconcile_agreements, reconcile_disagreements, strat_quotas, strat_sample, splits_rows, split_buckets,
         slice_totals, leakage, splits_payload, dedup_staged, dedup_greedy, title_doi_keys, id_parse, containment, crosscheck, crosscheck_counts, llm_json, numeric_spans,
         qa_spans, inverted_index, year_hist, year_bins, coverage, cooccurrence, source_shares, top_venues, missing_values, corpus_compare, tiers, completeness, task_view_counts,
+        parse_openalex, append_rows, resolve_sources, crosscheck_records, other_splits, splits_meta,
     )
 }
