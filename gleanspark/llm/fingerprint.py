@@ -11,7 +11,8 @@ equal exactly if canonical texts are.
 Edge cases: a null text is empty; empty texts share a fingerprint; repeated
 rows each give their row; rows of one doc_id are ordered by their digest, a
 null doc_id comes last; a single row is followed by itself; an empty table
-gives an empty result.  Other columns are ignored.
+gives an empty result.  Other columns are ignored.  A very long text is
+handled as one value in the JVM (Spark's limit of 2 GB), a few copies at a time.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shards import LAST, shared_checkpoints
+from ._shards import shared_checkpoints
 from .decontaminate import few
 
 #: Rows of one block of neighbouring ids, about.
 BLOCK = 1024
-#: Quantiles of the ids between which blocks are spread evenly.
-RANGES = 64
+#: A block is split at quantiles of its own ids into at most FANOUT; LEVELS times at most, so blocks grow beyond FANOUT ** LEVELS * BLOCK rows.
+FANOUT, LEVELS = 64, 3
 
 
 def canonical(text: Column) -> Column:
@@ -41,25 +42,37 @@ def digest(canon: Column) -> Column:
     return F.concat(one(canon), one(F.concat(F.lit("\u0001"), canon)))
 
 
+def in_blocks(own: DataFrame) -> DataFrame:
+    """own (order: the id, null for none; text_key) with block.  Blocks rise with the id and rows of one id share a block; null ids
+    come last, in blocks that rise with the text's key.  Bounds are quantiles, taken again inside blocks that are still too
+    large, so neither clustered ids nor a far one fill a block; they are written tables, so a lost task finds the same blocks."""
+    known = F.col("order").isNotNull()
+    total, nulls = own.agg(F.count("order"), F.count(F.when(~known, F.lit(1)))).first()
+    placed, blocks = own.withColumn("block", F.lit(0).cast("long")), 1
+    for _ in range(LEVELS):
+        parts = min(FANOUT, -(-total // (BLOCK * blocks)))
+        if parts < 2:
+            break
+        cuts = placed.where(known).groupBy("block").agg(F.percentile_approx("order", [i / parts for i in range(1, parts)], 20 * parts).alias("cuts")).checkpoint()
+        # at most FANOUT ** (LEVELS - 1) rows of as many longs as parts
+        inside = F.size(F.filter("cuts", lambda c: c <= F.col("order")))
+        placed = placed.join(F.broadcast(cuts), "block", "left").withColumn("block", F.col("block") * parts + F.when(known, inside).otherwise(0)).drop("cuts")
+        blocks *= parts
+    more = min(FANOUT**LEVELS, max(1, -(-nulls // BLOCK)))
+    by_key = F.least(F.floor((F.col("text_key").cast("double") / 2.0**64 + 0.5) * more), F.lit(more - 1))
+    return placed.withColumn("block", F.when(known, F.col("block")).otherwise(blocks + by_key))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, text_key, n_chars, and next (struct of id, key and text of the next document by id), without a window
     over the whole table: rows are windowed inside blocks of neighbouring ids; a block's last row takes the first row of
     the next block, the very last the very first."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    grid = [i / RANGES for i in range(1, RANGES)]
-    stats = own.agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("low"), F.max("order").alias("high"), F.percentile_approx("order", grid, 20_000).alias("grid")).first()
-    cuts = sorted({stats["low"], *stats["grid"]}) if stats["n"] else [0]
-    steps = max(1, -(-stats["n"] // (BLOCK * len(cuts))))
-    bounds = F.array(*[F.lit(c).cast("long") for c in [*cuts, (stats["high"] or 0) + (0 if stats["high"] == LAST else 1)]])
-    # ranges at quantiles, each in even steps: blocks rise with the id, and rows of one id share a block
-    at = F.greatest(F.size(F.filter(bounds, lambda c: c <= F.col("order"))), F.lit(1))
-    low, high = F.element_at(bounds, F.col("at")).cast("double"), F.coalesce(F.try_element_at(bounds, F.col("at") + 1), F.col("order") + 0).cast("double")
-    inner = F.least(F.floor((F.col("order").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * steps), F.lit(steps - 1))
-    placed = own.withColumn("at", at).withColumn("block", F.col("at").cast("long") * steps + inner).withColumn("text_key", F.xxhash64("text")).drop("at")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("order"))
+    placed = in_blocks(own.withColumn("text_key", F.xxhash64("text")))
     row = F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "text")
     inside = placed.withColumn("following", F.lead(row).over(Window.partitionBy("block").orderBy("order", "text_key")))
     heads = placed.groupBy("block").agg(F.min_by(row, F.struct("order", "text_key")).alias("first"))
-    # one row for each block, that is for a thousand documents
+    # one row for each block: twice FANOUT ** LEVELS at most
     turn = heads.select("block").withColumn("next_block", F.lead("block").over(Window.orderBy("block")))
     turn = turn.withColumn("next_block", F.coalesce("next_block", F.min("block").over(Window.partitionBy(F.lit(0)))))
     bridge = turn.join(heads.select(F.col("block").alias("next_block"), "first"), "next_block").select("block", "first")

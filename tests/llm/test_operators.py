@@ -138,6 +138,28 @@ def test_fingerprint(spark, nothing):
     assert fingerprint.fingerprints(docs.limit(1)).count() == 1
 
 
+def test_fingerprint_blocks_are_even(spark, monkeypatch):
+    """Ids in clusters, an outlier, many rows without an id: no block is far above its size, ids of a block are neighbours, nulls come last."""
+    ids = [*range(4000), *range(10**6, 10**6 + 4000), *range(0, 10**12, 10**9), (1 << 63) - 2, -(1 << 62)] + [None] * 2000 + [77] * 40
+    docs = spark.createDataFrame([(i, f"{k:06d}", "clash") for k, i in enumerate(ids)], "doc_id long, text string, block string").repartition(3)
+    for block, fanout in ((64, 64), (32, 8)):
+        monkeypatch.setattr(fingerprint, "BLOCK", block)
+        monkeypatch.setattr(fingerprint, "FANOUT", fanout)
+        placed = fingerprint.in_blocks(docs.select(F.col("doc_id").alias("order"), F.xxhash64("text").alias("text_key")))
+        per = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("lo"), F.max("order").alias("hi"), F.count("order").alias("known")).orderBy("block").collect()
+        assert sum(r["n"] for r in per) == len(ids) and max(r["n"] for r in per) <= 3 * block + 40
+        own = [r for r in per if r["known"]]
+        assert all(r["known"] == r["n"] for r in own) and all(a["hi"] < b["lo"] for a, b in zip(own, own[1:]))
+        assert max(r["block"] for r in own) < min(r["block"] for r in per if not r["known"])
+    # the next document is the same whatever the blocks are
+    plain = sorted(((math.inf if i is None else i), f"{k:06d}") for k, i in enumerate(ids))
+    known = {t: plain[(k + 1) % len(plain)][1] for k, (i, t) in enumerate(plain) if i not in (math.inf, 77, 76)}
+    got = {r["text"]: r["t"] for r in fingerprint.with_next(docs).select("text", F.col("next.text").alias("t")).collect()}
+    ends = {t for t, n in known.items() if n == next(x for i, x in plain if i == math.inf)}
+    assert len(got) == len(ids) and all(got[t] == n for t, n in known.items() if t not in ends)
+    assert fingerprint.fingerprints(docs.limit(300)).count() == 300
+
+
 def plain_fingerprint(t, size=3):
     w = WS.findall((t or "").translate(LOW))
     s = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else ([" ".join(w)] if w else [])
@@ -498,12 +520,14 @@ def test_schedule_is_even(spark):
 def test_url_filter(spark):
     urls = ["http://A.Example.org/es/x", "http://example.org/en/12?q", "https://example.org/en/2", "http://x.com/fr/a#b", "http://x.com/de/", "http://y.net/fr/", "no scheme", None, "", "http://org", "http://worg/", "x://com/fr/?://b", "http://a.com?x://b/fr/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    out = {r["page_id"]: r for r in url_filter.judge(pages.select("page_id", "url")).collect()}
+    out = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
     want = [("a.example.org", "/es/x", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("example.org", "/en/2", "org/", "allow"), ("x.com", "/fr/a", "com/fr/", "allow"), ("x.com", "/de/", "com/de/", "block")]
     assert [(out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) for i in range(5)] == want
     assert [(out[i]["host"], out[i]["path"], out[i]["rule"]) for i in (5, 6, 7, 8, 9, 10, 12)] == [("y.net", "/fr/", None), ("", "", None), ("", "", None), ("", "", None), ("org", "", None), ("worg", "/", None), ("a.com", "", None)]
     assert out[11]["rule"] == "com/fr/" and all(r["verdict"] in ("allow", "block") for r in out.values())
-    assert url_filter.judge(pages.select("page_id", "url").where("false")).count() == 0
+    assert url_filter.judge(pages.where("false")).count() == 0
+    again = spark.createDataFrame([(1, "http://x.com/de/"), (1, "http://x.com/de/"), (None, "http://y.net/" + "p" * 200_000)], "page_id long, url string")
+    assert rows_of(url_filter.judge(again), "page_id", "rule") == {(1, "com/de/"): 2, (None, None): 1}
     seen = spark.createDataFrame([("bad.spam.net", 0)] * 40 + [("ok.fine.net", 1)] * 40 + [("b.spam.net", 0)] * 5, "host string, good int")
     asked = spark.createDataFrame([(1, "http://bad.spam.net/"), (2, "http://ok.fine.net/"), (3, "http://new.spam.net/")], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(asked, [], seen).collect()}
