@@ -113,5 +113,7 @@ def judge(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None, thre
     verdicts = known.select(F.col("host").alias("open_host"), F.coalesce("mean", prior).alias("posterior"), F.coalesce("high", bound).alias("high")).checkpoint()
     verdicts = few(verdicts, verdicts.count())
     by_method = F.when(F.coalesce("high", F.lit(1.0)) < threshold, "block").otherwise("allow")
-    joined = ruled.join(verdicts, F.when(F.col("rule").isNull(), F.col("host")) == F.col("open_host"), "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("says", by_method).alias("verdict"), "posterior")
+    # pages that rules decide stay out of the join: they have no key in it
+    decided = ruled.where("rule is not null").select("page_id", "host", "path", "rule", F.col("says").alias("verdict"), F.lit(None).cast("double").alias("posterior"))
+    open_pages = ruled.where("rule is null").join(verdicts, F.col("host") == F.col("open_host"), "left")
+    return decided.unionByName(open_pages.select("page_id", "host", "path", "rule", by_method.alias("verdict"), "posterior"))
