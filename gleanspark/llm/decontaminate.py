@@ -103,9 +103,10 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 8) -> DataFrame:
 
 def verified(docs: DataFrame, index: Index, chosen: DataFrame, n_windows: int) -> DataFrame:
     met = index.phrases(chosen.drop("window"), n_windows).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("window_id", "start")).alias("met")).checkpoint()
+    places = met.agg(F.sum(F.size("met") + 1)).first()[0] or 0  # a document has as many hits as its text allows: the bound counts them
     met = met.select(F.col("doc_id").alias("met_id"), F.col("text_key").alias("met_key"), "met")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = keyed.join(few(met, met.count() * 4), F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_key")))
+    texts = keyed.join(few(met, places), F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_key")))
     texts = texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words"), F.explode("met").alias("m"))
     same = F.slice("words", F.col("m.start") + 1, F.size("window")) == F.col("window")
     hits = texts.join(few(chosen.select("window_id", "window"), n_windows), F.col("m.window_id") == F.col("window_id")).where(same)
