@@ -8,8 +8,11 @@ connect.  Equal sets are one node from the start.  Candidates come from
    which connects families of close copies by few pairs;
 2. prefixes, which miss nothing: in one order of all shingles (hot ones last, else
    by hash) two sets of the similarity share one of their first shingles.  Each
-   set is compared with the next one in its key's order, then what is still
-   apart in a key with one of each part, then all of it that is still apart.
+   set is compared with the next one in its key's order.  Then come rounds: in a
+   new random order of each key, sets meet the last sets of other parts before
+   them, some for each two parts, and parts that link are one from then on; so a
+   family grows together without its pairs.  When a round no longer saves more
+   pairs than it costs rows, all of a key that are still apart are compared.
 
 Every candidate pair passes three tests: the sizes, the places of the shared
 shingle, and a lower bound by embedding: each set has a row of segment parities
@@ -17,8 +20,10 @@ shingle, and a lower bound by embedding: each set has a row of segment parities
 the number of shingles that only one set has.  Only then the sets themselves
 are brought together and compared.  No test loses a pair of the similarity.
 
-Hot keys are salted while neighbours are linked; sorted rows are read as a
-stream, so a task's memory doesn't grow with a key.
+Hot keys are salted while neighbours are linked and in rounds; sorted rows are
+read as a stream, so a task's memory doesn't grow with a key.  What stays
+quadratic are sets that share a key, pass the tests and yet are not similar: each
+pair of them is compared once, as nothing less shows that no link is lost.
 
 Edge cases: a null or empty text has no shingles; such texts are copies of one
 another; a text shorter than a shingle is its own; a null doc_id comes after
@@ -27,6 +32,7 @@ all others; repeated rows are copies; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +52,10 @@ BASE = 0x9E3779B97F4A7C15
 SAMPLE, HOT, MOST_HOT = 16, 8, 200_000
 #: Parts of a hot key while neighbours are linked.
 SALTS = 64
+#: Pairs of any two parts that the first round tries; each round doubles that, up to 2^20 times.
+TRIES = 32
+#: Earlier sets that a set meets in a round; rows of a key that stay together there; passes over the rows that a round costs, about.
+MEET, TOGETHER, PASSES = 4, 1024, 4
 #: Sets that a task remembers, so as to send copies once.
 REMEMBERED = 1 << 18
 NO_PLACE = (1 << 32) - 1
@@ -211,6 +221,37 @@ def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "meta", "node").mapInArrow(run, "key long, salt long, meta long, node long, next_node long")
 
 
+def strangers(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows: key, salt, band, dice, meta, node, root.  Pairs a, b of nodes with the lesser and greater root: in the order of key, salt,
+    band and dice each row and the last MEET before its run of equal roots, as far as roots differ and the two may link."""
+    names = ["key", "salt", "meta", "node", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: np.empty(0, U64) for k in names}  # of the last key and salt the last rows of the last run, and the last before it
+        for b in trimmed(batches):
+            if not len(b):
+                continue
+            known = len(held["key"])
+            x = {k: np.concatenate([held[k], b[k].to_numpy().view(U64)]) for k in names}
+            at = np.arange(len(x["key"]))
+            new = np.ones(len(at), bool)
+            new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["salt"][1:] != x["salt"][:-1])
+            turn = new.copy()
+            turn[1:] |= x["root"][1:] != x["root"][:-1]
+            first, start = (np.maximum.accumulate(np.where(k, at, 0)) for k in (new, turn))
+            for back in range(1, MEET + 1):
+                mine = at[(start - back >= first) & (at >= known)]
+                other = start[mine] - back
+                ok = (x["root"][mine] != x["root"][other]) & may_link(x["meta"][mine], x["meta"][other], similarity)
+                (n1, r1), (n2, r2) = ((x["node"][i[ok]].view(np.int64), x["root"][i[ok]].view(np.int64)) for i in (mine, other))
+                yield batch(a=np.minimum(n1, n2), b=np.maximum(n1, n2), low=np.minimum(r1, r2), high=np.maximum(r1, r2))
+            keep = np.append(at[max(first[-1], start[-1] - MEET) : start[-1]], at[max(start[-1], len(at) - MEET) :])
+            held = {k: v[keep] for k, v in x.items()}
+
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "band", "dice", "node")
+    return dealt.mapInArrow(run, "a long, b long, low long, high long")
+
+
 def pairs_of(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -285,6 +326,32 @@ def rooted(live: DataFrame, roots: DataFrame) -> DataFrame:
     return told.join(open_, "key", "left_semi").checkpoint()
 
 
+def early(told: DataFrame, similarity: float) -> DataFrame:
+    """Rows whose place lets them link to a set of their size."""
+    return told.where(may_link_columns(F.col("meta"), F.col("meta"), similarity))
+
+
+def to_come(told: DataFrame) -> tuple[int, float]:
+    """Rows, and pairs of rows that share a key and are of two roots."""
+    n = told.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    by_key = n.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    rows, pairs = by_key.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    return int(rows or 0), pairs or 0.0
+
+
+def tries(told: DataFrame, asked: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs a, b for the round of that number: some for any two parts that meet in a key, none of those that were asked."""
+    rows = early(told, similarity)
+    large = rows.groupBy("key").count().where(F.col("count") > TOGETHER).checkpoint()
+    salt = F.coalesce(F.pmod(F.xxhash64(F.lit(2 * turn + 1), "node"), F.ceil(F.col("count") / TOGETHER)), F.lit(0).cast("long"))
+    # sizes of a band are near enough for a link
+    band = F.floor(4 * F.log2(F.greatest(F.shiftright("meta", 32), F.lit(1).cast("long"))))
+    rows = rows.join(few(large, large.count()), "key", "left").select("key", salt.alias("salt"), band.alias("band"), F.xxhash64(F.lit(2 * turn), "key", "node").alias("dice"), "meta", "node", "root")
+    found = strangers(rows, similarity).distinct().join(asked, ["a", "b"], "left_anti")
+    place = F.pmod(F.xxhash64(F.lit(turn), "a", "b"), F.lit(TRIES << min(turn, 20)))
+    return found.groupBy("low", "high", place).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").checkpoint()
+
+
 def similar(sets: Sets) -> DataFrame:
     """node and root: what pairs of the similarity connect."""
     docs, similarity = sets.docs, sets.similarity
@@ -301,12 +368,17 @@ def similar(sets: Sets) -> DataFrame:
 
     asked = still_apart(live.where("next_node is not null").select(*pairs_of(F.col("node"), F.col("next_node"))).distinct()).checkpoint()
     edges = edges.union(sets.verified(asked))
-    # one node of each part that a key still holds, next to one another: salted parts of a family meet here
-    parts = rooted(live, components(edges)).groupBy("key", "root").agg(F.min(F.struct("meta", "node")).alias("m"))
-    heads = neighbours(parts.select("key", F.lit(0).cast("long").alias("salt"), "m.meta", "m.node"), similarity)
-    heads = heads.where("next_node is not null").select(*pairs_of(F.col("node"), F.col("next_node"))).distinct().join(asked, ["a", "b"], "left_anti").checkpoint()
-    edges, asked = edges.union(sets.verified(heads)), asked.union(heads)
     told = rooted(live, components(edges))
+    rows, left = to_come(early(told, similarity))
+    for turn in itertools.count():
+        if left <= rows:
+            break
+        tried = tries(told, asked, turn, similarity)
+        edges, asked, before = edges.union(sets.verified(tried)), asked.union(tried), left
+        told = rooted(told, components(edges))
+        rows, left = to_come(early(told, similarity))
+        if before - left < PASSES * rows:
+            break
     x, y = told.alias("x"), told.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & may_link_columns(F.col("x.meta"), F.col("y.meta"), similarity))
     rest = met.select(*pairs_of(F.col("x.node"), F.col("y.node"))).distinct().join(asked, ["a", "b"], "left_anti")

@@ -264,6 +264,62 @@ def test_neighbours_span_batches(spark):
     spark.conf.set(key, before)
 
 
+def test_strangers_span_batches(spark):
+    rng = random.Random(6)
+    rows = [(k, s, 0, d, 100 << 32, 1000 * k + 100 * s + d, rng.randrange(3)) for k in range(12) for s in range(1 + k % 2) for d in range(k * 2)]
+    want = set()
+    for (*_, d, _, n, r), x in zip(rows, rows):
+        before = [y for y in rows if y[:2] == x[:2] and y[3] < d]
+        while before and before[-1][6] == r:
+            before.pop()
+        want |= {(y[5], n, min(y[6], r), max(y[6], r)) for y in before[-near_copies.MEET :] if y[6] != r}
+    df = spark.createDataFrame(rows, "key long, salt long, band long, dice long, meta long, node long, root long").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for n in ("1", "3", "1000"):
+        spark.conf.set(key, n)
+        got = rows_of(near_copies.strangers(df, 0.8), "a", "b", "low", "high")
+        assert set(got) == want and max(got.values()) == 1
+    spark.conf.set(key, before)
+
+
+def test_families_link_without_their_pairs(spark, monkeypatch):
+    """Texts with two words changed are near copies of those with one, rarely of one another: groups are those of all pairs, and far
+    fewer pairs are compared."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(150), 1 if i % 4 == 0 else 2):
+            words[at] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [frozenset(hash(tuple(w[k : k + 5])) for k in range(146)) for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    asked, verified = [], near_copies.Sets.verified
+
+    def counted(self, pairs):
+        pairs = pairs.checkpoint()
+        asked.append(pairs.count())
+        return verified(self, pairs)
+
+    monkeypatch.setattr(near_copies.Sets, "verified", counted)
+    assert kept_ids(spark.createDataFrame(rows, "doc_id long, text string")) == sorted({find(i) for i in range(len(rows))})
+    assert sum(asked) < 30 * len(rows)
+
+
 def test_chunks_are_even(spark, monkeypatch):
     """Ids in clusters, an outlier, many rows without an id: no chunk is far above its size, and all rows of an id share one."""
     ids = [*range(3000), *range(10**6, 10**6 + 3000), *range(0, 10**12, 10**9), (1 << 63) - 2] + [None] * 2000 + [77] * 40
