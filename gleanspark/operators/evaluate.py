@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import canonical_amount, canonical_text, char_iou, either_contains, is_nr, near, normalise_unit, numeric_match, parse_number, supported
 from ..schema import HEADLINE, NR, NUMERIC, PARTS
-from .frames import side_by_side, to_long
+from .frames import side_by_side, to_long, unsent
 
 METRICS = ["naive_f1", "nr_f1", "acal_f1", "span_iou", "num_match", "unit_accuracy", "ae_consistency"]
 COUNTS = ["n_emit_gold", "n_emit_pred", "n_nr_gold", "n_iou_evaluable", "n_num_evaluable", "n_unit_evaluable"]
@@ -45,7 +45,7 @@ def joined(a: DataFrame, b: DataFrame, keep: list[str], how: str) -> DataFrame:
     a, b = (to_long(x, keep=k) if is_wide(x) else x for x, k in ((a, list(keep)), (b, [])))
     left = a.select(*keep, "record_id", "field", F.lit(True).alias("aligned"), *[F.col(p).alias(f"a_{p}") for p in PARTS])
     right = b.select("record_id", "field", *[F.col(p).alias(f"b_{p}") for p in PARTS])
-    return left.join(right, ["record_id", "field"], how).withColumn("aligned", F.coalesce("aligned", F.lit(False)))
+    return left.join(unsent(right), ["record_id", "field"], how).withColumn("aligned", F.coalesce("aligned", F.lit(False)))
 
 
 def paired(a: DataFrame, b: DataFrame, policy: MatchPolicy, keep: list[str] = (), how: str = "inner") -> DataFrame:
@@ -113,7 +113,7 @@ def field_metrics(gold: DataFrame, pred: DataFrame, policy: MatchPolicy = MatchP
     if by and not (is_wide(gold) and is_wide(pred)):  # a long frame may lack a field of a record that has a slice
         ids = gold.select("record_id", *by).distinct()
         cells = to_long(pred) if is_wide(pred) else pred
-        rows = rows.drop("ae_consistency").join(ae_consistency(cells.join(ids, "record_id"), [*by, "field"]), [*by, "field"], "left")
+        rows = rows.drop("ae_consistency").join(ae_consistency(cells.join(unsent(ids), "record_id"), [*by, "field"]), [*by, "field"], "left")
     return rows.select(*by, "field", "n", *METRICS, *COUNTS)
 
 

@@ -42,6 +42,12 @@ def to_long(frame: DataFrame, fields: list[str] = HEADLINE, keep: list[str] = ()
     return frame.select(*keep, "record_id", F.inline(F.array(*cells)))
 
 
+def unsent(side: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input, never sent whole through the driver: the planner takes the size of cells from the
+    file that they are derived from, which may be a hundredth of it."""
+    return side.hint("merge")
+
+
 def side_by_side(a: DataFrame, b: DataFrame, keep: list[str] = (), how: str = "inner", fields: list[str] = HEADLINE) -> DataFrame:
     """The cells of two wide frames: keep (of a), record_id, aligned (a has the record), field and a_… and b_… of each part.  Records
     are joined before they become cells, so a shuffle moves and sorts one row for each record."""
@@ -50,7 +56,7 @@ def side_by_side(a: DataFrame, b: DataFrame, keep: list[str] = (), how: str = "i
     left = a.select(*keep, "record_id", F.lit(True).alias("aligned"), *[text(f, p).alias(f"a_{f}_{p}") for f, p in parts])
     right = b.select("record_id", *[text(f, p).alias(f"b_{f}_{p}") for f, p in parts])
     cells = [F.struct(F.lit(f).alias("field"), *[F.col(f"{s}_{f}_{p}").alias(f"{s}_{p}") for s in "ab" for p in PARTS]) for f in fields]
-    return left.join(right, "record_id", how).select(*keep, "record_id", F.coalesce("aligned", F.lit(False)).alias("aligned"), F.inline(F.array(*cells)))
+    return left.join(unsent(right), "record_id", how).select(*keep, "record_id", F.coalesce("aligned", F.lit(False)).alias("aligned"), F.inline(F.array(*cells)))
 
 
 def to_wide(cells: DataFrame, fields: list[str] = HEADLINE) -> DataFrame:

@@ -82,6 +82,14 @@ def test_wide_frames_score_like_long_ones(spark, long):
     assert evaluate.evaluate(gold.where("false"), bad).where("field <> 'MACRO'").count() == 0
 
 
+def test_cells_are_not_broadcast(spark):
+    wide = frames.empty(spark.range(9).select(F.col("id").alias("record_id")))  # the planner knows that it is small
+    cells = frames.to_long(wide)
+    for a, b in ((wide, wide), (cells, cells), (wide, cells)):
+        plan = evaluate.evaluate(a, b)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_bootstrap_query_draws_the_default_rounds(long, monkeypatch):
     monkeypatch.setattr(queries, "both", lambda spark, sf_dir: (long["gold"], long["bad"]))
     assert queries.bootstrap_ci(None, "").first()["rounds"] == 1000
