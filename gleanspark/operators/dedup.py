@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bibliography import norm_doi, norm_title
 from ..functions.values import strip
-from ..session import shared_checkpoints
+from ..session import shared_checkpoints, unsent
 from .components import components
 
 KEYS = ["k_doi", "k_pmid", "k_pmcid", "k_title", "k_url"]
@@ -78,14 +78,14 @@ def greedy(records: DataFrame, order: str = "seq") -> DataFrame:
     edges = keyed.select(F.col("seq").alias("node"), F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.col(k)) for k in KEYS])).alias("key")).where("key is not null")
     shared = edges.join(edges.groupBy("key").count().where("count > 1").select("key"), "key")
     joined = connected(shared.select("node", "key").checkpoint())
-    parts = keyed.join(joined.withColumnRenamed("node", "seq"), "seq", "left")
+    parts = keyed.join(unsent(joined.withColumnRenamed("node", "seq")), "seq", "left")
     alone = parts.where("component is null").select(F.col("seq").alias("slot_seq"), "seq")
 
     def one(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         return fold(rows)
 
     kept = parts.where("component is not null").groupBy("component").applyInPandas(one, "slot_seq long, seq long").unionByName(alone)
-    return records.join(kept.withColumnRenamed("seq", "_seq"), F.col(order).cast("long") == F.col("_seq")).drop("_seq")
+    return records.join(unsent(kept.withColumnRenamed("seq", "_seq")), F.col(order).cast("long") == F.col("_seq")).drop("_seq")
 
 
 def append(warehouse: DataFrame, rows: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import canonical_amount, canonical_text, char_iou, either_contains, is_nr, near, normalise_unit, numeric_match, parse_number, supported
 from ..schema import HEADLINE, NR, NUMERIC, PARTS
-from .frames import side_by_side, to_long, unsent
+from ..session import unsent
+from .frames import side_by_side, to_long
 
 METRICS = ["naive_f1", "nr_f1", "acal_f1", "span_iou", "num_match", "unit_accuracy", "ae_consistency"]
 COUNTS = ["n_emit_gold", "n_emit_pred", "n_nr_gold", "n_iou_evaluable", "n_num_evaluable", "n_unit_evaluable"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import is_nr, strip
 from ..schema import HEADLINE, PARTS, annotation_columns, strings
+from ..session import unsent
 
 
 def required_columns(fields: list[str] = HEADLINE) -> list[str]:
@@ -42,12 +43,6 @@ def to_long(frame: DataFrame, fields: list[str] = HEADLINE, keep: list[str] = ()
     return frame.select(*keep, "record_id", F.inline(F.array(*cells)))
 
 
-def unsent(side: DataFrame) -> DataFrame:
-    """The side of a join that grows with the input, never sent whole through the driver: the planner takes the size of cells from the
-    file that they are derived from, which may be a hundredth of it."""
-    return side.hint("merge")
-
-
 def side_by_side(a: DataFrame, b: DataFrame, keep: list[str] = (), how: str = "inner", fields: list[str] = HEADLINE) -> DataFrame:
     """The cells of two wide frames: keep (of a), record_id, aligned (a has the record), field and a_… and b_… of each part.  Records
     are joined before they become cells, so a shuffle moves and sorts one row for each record."""

@@ -42,3 +42,9 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unsent(side: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input, never sent whole through the driver: the planner takes its size from the files
+    that it is derived from, which may be a hundredth of it."""
+    return side.hint("merge")

@@ -115,6 +115,19 @@ def test_greedy_dedup_against_one_pass(spark):
     assert [tuple(r) for r in got] == [(a, b) for a, b, _ in slots]
 
 
+def test_labels_of_many_nodes_are_not_broadcast(spark, monkeypatch):
+    from gleanspark.operators import components
+
+    seen, write = [], components.written
+    monkeypatch.setattr(components, "FEW", 5)
+    monkeypatch.setattr(components, "written", lambda df, name: (seen.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    pairs = spark.range(9).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {tuple(r) for r in components.components(pairs).collect()} == {(i, 0) for i in range(10)}
+    assert len(seen) > 2 and not any("Broadcast" in plan for plan in seen)
+    sides = dedup.greedy(records(spark, [("d", None, None, "", None, "")] * 3))._jdf.queryExecution().executedPlan().toString()
+    assert sides.count("SortMergeJoin") > 1 and "BroadcastHashJoin" not in sides
+
+
 def test_resolver_asks_own_source_first(spark):
     missing = spark.createDataFrame([("x", "OpenAlex", ["d1", "d2"]), ("y", "PubMed", ["d9"])], "record_id string, source string, candidates array<string>")
     landed = spark.createDataFrame([("PubMed", "d1", "P"), ("OpenAlex", "d2", "O"), ("OpenAlex", "d1", "")], "api string, doi string, title string")
