@@ -95,6 +95,21 @@ def test_bootstrap_query_draws_the_default_rounds(long, monkeypatch):
     assert queries.bootstrap_ci(None, "").first()["rounds"] == 1000
 
 
+def test_bootstrap_draws_a_record_once_for_all_its_cells(spark, long):
+    out = evaluate.bootstrap(long["gold"], long["bad"], rounds=11)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("collect_list")  # drawn above the step that makes one row of a record's cells
+    u = F.pmod(F.xxhash64(F.lit(42), F.col("round"), F.col("r")), F.lit(1_000_003)) / 1_000_003
+    ids = spark.createDataFrame([(f"r{i}",) for i in range(1, 7)], "r string").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(11))))
+    below = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+    times = {(x["r"], x["round"]): sum(x["u"] >= b for b in below) for x in ids.withColumn("u", u).collect()}
+    scores = []
+    for n in range(1, 12):
+        w = lambda f, want: sum(times[r, n] for r in ("r1", "r2", "r3", "r4", "r5", "r6") if ((r, f) in GOLD) == want)  # noqa: B023, E731
+        scores.append(sum(2 * w(f, True) / (2 * w(f, True) + w(f, False)) / 2 if w(f, True) else 0 for f in HEADLINE) / 6)  # all is told, so nothing is rightly abstained
+    assert out.first()["mean"] == pytest.approx(sum(scores) / 11)
+
+
 def test_frames(spark, tmp_path):
     with pytest.raises(ValueError):
         frames.validate(spark.createDataFrame([("r1",)], "record_id string"))
