@@ -32,17 +32,17 @@ def is_nr(v: Column) -> Column:
     return v.isNull() | F.upper(strip(v)).isin("", NR)
 
 
-def parse_number(v: Column) -> Column:
-    """The first number of a value; null for abstentions, bounds and ranges."""
+def parse_number(v: Column, nr: Column | None = None) -> Column:
+    """The first number of a value; null for abstentions, bounds and ranges.  Here and below nr is is_nr(v), if it is a column already."""
     plain = F.replace(F.replace(F.replace(v, F.lit("−"), F.lit("-")), F.lit("±"), F.lit(" ")), F.lit("+/-"), F.lit(" "))
     found = F.regexp_extract(plain, NUMBER, 0).try_cast("double")
     bound = v.contains("<") | v.contains(">") | v.contains("≤") | v.contains("≥")
     ranged = (v.contains("-") | v.contains("–")) & v.rlike(r"(?U)\d\s*[-–]\s*\d")
-    return F.when(is_nr(v) | bound | ranged, F.lit(None).cast("double")).otherwise(found)
+    return F.when((is_nr(v) if nr is None else nr) | bound | ranged, F.lit(None).cast("double")).otherwise(found)
 
 
-def normalise_unit(u: Column) -> Column:
-    return F.when(is_nr(u), F.lit("")).otherwise(F.translate(F.lower(strip(u)), " ·.", ""))
+def normalise_unit(u: Column, nr: Column | None = None) -> Column:
+    return F.when(is_nr(u) if nr is None else nr, F.lit("")).otherwise(F.translate(F.lower(strip(u)), " ·.", ""))
 
 
 def canonical_amount(x: Column, u: Column, field: Column) -> Column:
@@ -59,9 +59,9 @@ def to_canonical(value: Column, unit: Column, field: Column) -> Column:
     return canonical_amount(parse_number(value), normalise_unit(unit), field)
 
 
-def canonical_text(v: Column) -> Column:
+def canonical_text(v: Column, nr: Column | None = None) -> Column:
     """Lower-cased with single spaces; abstentions are the sentinel itself."""
-    return F.when(is_nr(v), F.lit(NR)).otherwise(F.lower(strip(F.regexp_replace(v, r"(?U)\s+", " "))))
+    return F.when(is_nr(v) if nr is None else nr, F.lit(NR)).otherwise(F.lower(strip(F.regexp_replace(v, r"(?U)\s+", " "))))
 
 
 def char_iou(a: Column, b: Column) -> Column:
